@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import read
 from .charforms import normalized
+from .history import repeated_decisions
 from .mixing import Mix
 from .packing import pack
 from .splitting import split_oversized
@@ -53,6 +54,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forms(spark, sf_dir).where(F.col("normal_text") != F.col("text")).select("table_name", "record_id", "paragraph_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_decisions(read(spark, sf_dir, "precedents"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = [(r["limit_name"], r["max_size"]) for r in _limits(spark, sf_dir, "tokens")]
     return pack(read(spark, sf_dir, "documents"), limits, item_id="doc_id", size="n_tokens")
@@ -87,7 +92,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_normalized": p3_normalized,
-    "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p5_found": p5_found, "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 ORACLE = {
