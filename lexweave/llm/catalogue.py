@@ -11,6 +11,7 @@ from .history import repeated_decisions
 from .mixing import Mix
 from .packing import pack
 from .splitting import split_oversized
+from .stuffing import stuffing
 
 
 def _limits(spark: SparkSession, sf_dir: str, unit: str) -> list:
@@ -90,9 +91,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page the characters in links, bare key words and stuffed sentences, and their share."""
+    return stuffing(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where(F.col("stuffed_share") > 0.5).select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_normalized": p3_normalized,
-    "p5_found": p5_found, "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p5_found": p5_found, "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 
 ORACLE = {

@@ -265,6 +265,24 @@ def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, starts[offsets - offsets[0]]
 
 
+SLICE_BYTES = 3_000_000
+
+
+def slices(batch: pa.RecordBatch, *columns: str):
+    """Parts of a batch whose texts together have at most SLICE_BYTES (or one row): working memory doesn't follow the batch."""
+    n = len(batch)
+    if not n:
+        return
+    size = np.zeros(n, np.int64)
+    for c in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(size), 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def to_strings(cp: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """The reverse: rows of code points as Arrow strings."""
     data = cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
@@ -301,7 +319,8 @@ def normalize_array(arr: pa.Array) -> pa.Array:
 def _normalized(a: pa.Array) -> pa.Array:
     if isinstance(a, pa.ChunkedArray):
         a = a.combine_chunks()
-    return normalize_array(a)
+    parts = [normalize_array(b.column("t")).cast(pa.string()) for b in slices(pa.RecordBatch.from_arrays([a], names=["t"]), "t")]
+    return pa.concat_arrays(parts) if parts else a
 
 
 def normalized(c: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, stage_path
-from .charforms import code_points, normalize_array, normalized
+from .charforms import code_points, normalize_array, normalized, slices
 from .splitting import _last
 
 GRAM = 8
@@ -194,13 +194,12 @@ def fit_cells(views: np.ndarray, records: int, rounds: int = 4) -> Cells:
 
 def _texts(batches):
     """Digest and text vector of each row."""
-    for b in batches:
-        if len(b):
-            h, row, digest = grams(b.column("text"))
-            v = text_vectors(h, row, len(b))
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) + 1) * TEXT_DIMS, pa.int32()), pa.array(v.ravel()))
-            cols = [b.column("id"), b.column("batch_no"), b.column("court"), b.column("numbers"), b.column("views"), pa.array(digest.view(np.int64)), vec]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "batch_no", "court", "numbers", "views", "digest", "vec"])
+    for b in (part for whole in batches for part in slices(whole, "text")):
+        h, row, digest = grams(b.column("text"))
+        v = text_vectors(h, row, len(b))
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) + 1) * TEXT_DIMS, pa.int32()), pa.array(v.ravel()))
+        cols = [b.column("id"), b.column("batch_no"), b.column("court"), b.column("numbers"), b.column("views"), pa.array(digest.view(np.int64)), vec]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "batch_no", "court", "numbers", "views", "digest", "vec"])
 
 
 _KEPT = ["id", "batch_no", "court", "numbers"]
@@ -211,9 +210,7 @@ def _place(cells: Cells, radius: np.ndarray | None):
     """Stored rows (radius None): the nearest cell of each vector. Queries: a row for each cell and ring to probe."""
 
     def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
             view = b.column("view").to_numpy(zero_copy_only=False)
             key = identity_points(view, cells.side)
             text = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(b), TEXT_DIMS)
@@ -298,9 +295,7 @@ class HistoryIndex:
 
 def _overlaps(batches):
     """Of each pair: share of the shorter text's grams in the other, and grams of each that the other lacks."""
-    for b in batches:
-        if not len(b):
-            continue
+    for b in (part for whole in batches for part in slices(whole, "text_a", "text_b")):
         ga, ra, _ = grams(b.column("text_a"))
         gb, rb, _ = grams(b.column("text_b"))
         fa, fb = np.searchsorted(ra, np.arange(len(b) + 1)), np.searchsorted(rb, np.arange(len(b) + 1))

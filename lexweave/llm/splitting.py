@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charforms import code_points
+from .charforms import code_points, slices
 
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _STOP = np.array([ord(c) for c in ".!?。！？…"], np.uint32)
@@ -142,10 +142,8 @@ def greedy_cuts(cp: np.ndarray, bounds: np.ndarray, limit: int, overlap: int) ->
 
 def _pieces(limit: int, overlap: int, keep: list[str], schema: pa.Schema):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "_text")):
             texts = batch.column("_text")
-            if not len(texts):
-                continue
             cp, bounds = code_points(texts)
             ends, owner = greedy_cuts(cp, bounds, limit, overlap)
             first = np.concatenate([[True], owner[1:] != owner[:-1]])
