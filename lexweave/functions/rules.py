@@ -101,6 +101,11 @@ class RuleSet:
 KOREAN = RuleSet(VERSION, MEDIUM, MEDIUM_PATTERN, RELATIONSHIP, CONTEXT, REPETITION, REACHED, SEXUAL + SLURS, INSULT, IMAGE, MENTION, PUBLIC)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has_any(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(t) for t in terms))
 
@@ -125,32 +130,44 @@ def facts(text: Column, rules: RuleSet = KOREAN, normalize: bool = True) -> Colu
     """
     base = F.coalesce(text, F.lit(""))
     t = F.lower(F.regexp_replace(nfkc(base) if normalize else base, r"^[\s\x{00A0}\x{3000}]+|[\s\x{00A0}\x{3000}]+$", ""))
-    hit = {v: has_any(t, terms) for v, terms in rules.medium}
-    media = present(*[(cond, v) for v, cond in hit.items()])
-    if rules.medium_pattern:
-        value, pattern = rules.medium_pattern
-        media = F.array_distinct(F.concat(media, present((t.rlike(pattern), value))))
-    medium = F.coalesce(F.get(media, F.lit(0)), F.lit("unknown"))
-    sexual, insult, image = has_any(t, rules.sexual), has_any(t, rules.insult), has_any(t, rules.image)
-    recipient = (
-        F.when(has_any(t, rules.mention), "mention").when(medium == "bank_transfer", "bank_account").when(has_any(t, rules.public), "public_post")
-        .when(medium.isin(ACCOUNT_MEDIA), "direct_account").otherwise("unknown")
-    )
-    context = first_rule(t, rules.context, "unknown")
-    repetition = first_rule(t, rules.repetition, "unknown")
-    reached = first_rule(t, rules.reached, "unknown")
-    expression = F.when(image, "sexual_image").when(sexual & insult, "insult_with_sexual_terms").when(sexual, "sexual_text").otherwise("other")
-    tags = present(
-        (~medium.isin("unknown", "direct_delivery"), "통신매체"), (reached == "yes", "도달"), (sexual, "성적표현"), (context == "conflict", "분노"),
-        ((medium == "sns_mention") | (recipient == "mention"), "멘션"), (repetition == "once", "단발성"), (repetition == "repeated", "반복성"),
-    )
-    values = [
-        medium, F.when(image, "image").otherwise("text"), recipient, reached, first_rule(t, rules.relationship, "unknown"), context, expression, repetition,
-    ]
-    more = F.when(F.size(media) > 1, F.slice(media, 2, len(rules.medium) + 1)).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        *[v.alias(n) for n, v in zip(SCALARS, values)], more.alias("additionalChannels"), tags.alias("issueTags"), t.alias("normalizedText"), F.lit(rules.version).alias("extractionVersion")
-    )
+
+    def hits(t: Column) -> Column:
+        media = present(*[(has_any(t, terms), v) for v, terms in rules.medium])
+        if rules.medium_pattern:
+            value, pattern = rules.medium_pattern
+            media = F.array_distinct(F.concat(media, present((t.rlike(pattern), value))))
+        flags = {"sexual": rules.sexual, "insult": rules.insult, "image": rules.image, "mention": rules.mention, "public": rules.public}
+        firsts = {"relationship": rules.relationship, "context": rules.context, "repetition": rules.repetition, "reached": rules.reached}
+        return F.struct(
+            t.alias("t"), media.alias("media"), *[has_any(t, v).alias(k) for k, v in flags.items()], *[first_rule(t, v, "unknown").alias(k) for k, v in firsts.items()]
+        )
+
+    def medium(h: Column) -> Column:
+        return F.struct(h.alias("h"), F.coalesce(F.get(h["media"], F.lit(0)), F.lit("unknown")).alias("medium"))
+
+    def recipient(m: Column) -> Column:
+        h, med = m["h"], m["medium"]
+        to = (
+            F.when(h["mention"], "mention").when(med == "bank_transfer", "bank_account").when(h["public"], "public_post")
+            .when(med.isin(ACCOUNT_MEDIA), "direct_account").otherwise("unknown")
+        )
+        return F.struct(h.alias("h"), med.alias("medium"), to.alias("recipient"))
+
+    def result(r: Column) -> Column:
+        h, med, to = r["h"], r["medium"], r["recipient"]
+        expression = F.when(h["image"], "sexual_image").when(h["sexual"] & h["insult"], "insult_with_sexual_terms").when(h["sexual"], "sexual_text").otherwise("other")
+        tags = present(
+            (~med.isin("unknown", "direct_delivery"), "통신매체"), (h["reached"] == "yes", "도달"), (h["sexual"], "성적표현"), (h["context"] == "conflict", "분노"),
+            ((med == "sns_mention") | (to == "mention"), "멘션"), (h["repetition"] == "once", "단발성"), (h["repetition"] == "repeated", "반복성"),
+        )
+        values = [med, F.when(h["image"], "image").otherwise("text"), to, h["reached"], h["relationship"], h["context"], expression, h["repetition"]]
+        more = F.when(F.size(h["media"]) > 1, F.slice(h["media"], 2, len(rules.medium) + 1)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            *[v.alias(n) for n, v in zip(SCALARS, values)], more.alias("additionalChannels"), tags.alias("issueTags"), h["t"].alias("normalizedText"),
+            F.lit(rules.version).alias("extractionVersion"),
+        )
+
+    return let(let(let(let(t, hits), medium), recipient), result)
 
 
 def public_facts(c: Column) -> Column:
@@ -181,25 +198,33 @@ def compare_facts(query: Column, other: Column) -> Column:
 
     A field unknown on either side isn't compared. Nothing to compare, or the message form alone, scores 0.
     """
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), query[f].alias("queryValue"), other[f].alias("precedentValue")) for f in SCALARS])
-    both = F.filter(pairs, lambda p: is_known(p["queryValue"]) & is_known(p["precedentValue"]))
-    same = F.filter(both, lambda p: p["queryValue"] == p["precedentValue"])
-    different = F.filter(both, lambda p: p["queryValue"] != p["precedentValue"])
-    n = F.size(both)
-    only_form = (n == 1) & (F.get(both, F.lit(0))["field"] == "messageForm")
-    score = F.when((n == 0) | only_form, F.lit(0).cast("bigint")).otherwise(half_up(F.try_divide(F.size(same) * F.lit(100.0), n)))
-    return F.struct(
-        score.alias("factScore"), jaccard_percent(query["issueTags"], other["issueTags"]).alias("issueScore"), n.cast("bigint").alias("comparableCount"),
-        same.alias("matchedFacts"), different.alias("differentFacts"),
-    )
+    sides = F.struct(query.alias("q"), other.alias("o"))
+
+    def pairs(x: Column) -> Column:
+        every = F.array(*[F.struct(F.lit(f).alias("field"), x["q"][f].alias("queryValue"), x["o"][f].alias("precedentValue")) for f in SCALARS])
+        both = F.filter(every, lambda p: is_known(p["queryValue"]) & is_known(p["precedentValue"]))
+        return F.struct(both.alias("both"), jaccard_percent(x["q"]["issueTags"], x["o"]["issueTags"]).alias("issue"))
+
+    def scored(x: Column) -> Column:
+        both, n = x["both"], F.size(x["both"])
+        same = F.filter(both, lambda p: p["queryValue"] == p["precedentValue"])
+        different = F.filter(both, lambda p: p["queryValue"] != p["precedentValue"])
+        only_form = (n == 1) & (F.get(both, F.lit(0))["field"] == "messageForm")
+        score = F.when((n == 0) | only_form, F.lit(0).cast("bigint")).otherwise(half_up(F.try_divide(F.size(same) * F.lit(100.0), n)))
+        return F.struct(score.alias("factScore"), x["issue"].alias("issueScore"), n.cast("bigint").alias("comparableCount"), same.alias("matchedFacts"), different.alias("differentFacts"))
+
+    return let(let(sides, pairs), scored)
 
 
 def focus(case_name: Column, normalize: bool = True) -> Column:
     """R12. peripheral before mixed before focused (also where the target is absent)."""
     base = F.coalesce(case_name, F.lit(""))
-    name = without_space(nfkc(base) if normalize else base)
-    target = name.contains(TARGET)
-    return F.when(target & has_any(name, PERIPHERAL), "peripheral").when(target & has_any(name, ["·", "(병합)", ","]), "mixed").otherwise("focused")
+
+    def kind(name: Column) -> Column:
+        target = name.contains(TARGET)
+        return F.when(target & has_any(name, PERIPHERAL), "peripheral").when(target & has_any(name, ["·", "(병합)", ","]), "mixed").otherwise("focused")
+
+    return let(without_space(nfkc(base) if normalize else base), kind)
 
 
 def focus_penalty(c: Column) -> Column:
@@ -215,21 +240,27 @@ def is_target_case(case_name: Column, normalize: bool = True) -> Column:
 
 def is_relevant(text: Column, normalize: bool = True) -> Column:
     base = F.coalesce(text, F.lit(""))
-    return has_any(without_space(nfkc(base) if normalize else base), RELEVANCE)
+    return let(without_space(nfkc(base) if normalize else base), lambda t: has_any(t, RELEVANCE))
 
 
 def is_enumeration(text: Column, normalize: bool = True) -> Column:
     """X11. The statute's own list of forms."""
     base = F.coalesce(text, F.lit(""))
-    t = without_space(nfkc(base) if normalize else base)
-    forms = reduce(lambda a, b: a + b, (t.contains(f).cast("int") for f in LISTED_FORMS))
-    return has_any(t, STATUTE_CONTEXT) & (forms >= 4)
+
+
+    def listed(t: Column) -> Column:
+        return has_any(t, STATUTE_CONTEXT) & (reduce(lambda a, b: a + b, (t.contains(f).cast("int") for f in LISTED_FORMS)) >= 4)
+
+    return let(without_space(nfkc(base) if normalize else base), listed)
 
 
 def order_kind(text: Column, normalize: bool = True) -> Column:
     """X13. civil, then multiple if more than one family of orders, else the family; other for none and for ''."""
     base = F.coalesce(text, F.lit(""))
-    t = squeeze(nfkc(base) if normalize else base)
+    return let(squeeze(nfkc(base) if normalize else base), _order_kind)
+
+
+def _order_kind(t: Column) -> Column:
     m = {k: t.rlike(p) for k, p in ORDER_PATTERNS.items()}
     families = [m["remand"], m["final_appeal"] | m["appeal"], m["prosecution"], m["acquitted"], m["sentenced"]]
     n = reduce(lambda a, b: a + b, (x.cast("int") for x in families))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rules import SCALARS, is_known
+from ..functions.rules import SCALARS, is_known, let
 from ..functions.text import clean_text, nfkc, sha256
 
 # Fixed values.
@@ -25,16 +25,21 @@ def without_outcomes(c: Column, limit: int = MAX_INPUT, normalize: bool = True)
     """X14. The sentences that tell no outcome, a line each, at most ``limit`` characters."""
     base = F.coalesce(c, F.lit(""))
     parts = F.split(clean_text(nfkc(base) if normalize else base), r"(?<=[.!?。])\s+|(?<=다\.)\s+|\n+")
-    kept = F.filter(F.transform(parts, F.trim), lambda p: (p != "") & ~p.rlike(OUTCOME))
+    kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(OUTCOME))
     return F.substring(F.array_join(kept, "\n"), 1, limit)
 
 
 def embedding_input(facts: Column, body: Column, head: str = DOCUMENT_HEAD) -> Column:
     """X15. Head, a line for each known fact, a line for each issue, the body."""
-    lines = [F.when(is_known(facts[f]), F.concat(F.lit(f + ": "), facts[f])) for f in SCALARS]
-    issues = F.transform(F.coalesce(facts["issueTags"], F.array().cast("array<string>")), lambda t: F.concat(F.lit("issue: "), t))
-    every = F.concat(F.array(F.lit(head)), F.array_compact(F.array(*lines)), issues, F.array_compact(F.array(F.nullif(body, F.lit("")))))
-    return F.array_join(every, "\n")
+
+    def joined(x: Column) -> Column:
+        f = x["f"]
+        lines = [F.when(is_known(f[n]), F.concat(F.lit(n + ": "), f[n])) for n in SCALARS]
+        issues = F.transform(F.coalesce(f["issueTags"], F.array().cast("array<string>")), lambda t: F.concat(F.lit("issue: "), t))
+        rest = F.array_compact(F.array(F.nullif(x["b"], F.lit(""))))
+        return F.array_join(F.concat(F.array(F.lit(head)), F.array_compact(F.array(*lines)), issues, rest), "\n")
+
+    return let(F.struct(facts.alias("f"), body.alias("b")), joined)
 
 
 def is_vector(c: Column, size: int) -> Column:

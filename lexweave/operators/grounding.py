@@ -67,7 +67,7 @@ def validate_analysis(payload: Column, allowed: Column, elements: list[str] = EL
 
     def plain(key: str, most: int, n: int) -> tuple[Column, Column]:
         good = F.array_compact(F.transform(texts(key), lambda t: sized(t, most)))
-        return F.slice(F.filter(good, is_neutral), 1, n), F.size(F.filter(good, lambda t: ~is_neutral(t)))
+        return F.slice(F.filter(good, lambda t: is_neutral(t)), 1, n), F.size(F.filter(good, lambda t: ~is_neutral(t)))
 
     def notes(key: str, name: str) -> Column:
         kind = f"array<struct<{name}:string,text:string>>"

@@ -53,7 +53,7 @@ def verify(records: DataFrame, rights: DataFrame, hosts: list[str] = OFFICIAL_HO
     d = d.withColumn("paragraph_count", F.size(split_paragraphs(F.col("source_text")))).withColumn("_rights", allowed)
     valid = F.col("_error").isNull() & (F.col("paragraph_count") > 0)
     verified = valid & link_ok(F.col("link_status"))
-    error = F.coalesce("_error", F.when(F.col("paragraph_count") == 0, "SOURCE_PARAGRAPHS_MISSING"), F.when(~link_ok(F.col("link_status")), "SOURCE_LINK_INVALID"), F.when(~F.col("_rights"), "SOURCE_RIGHTS_BLOCKED"))
+    error = F.coalesce("_error", F.when(F.col("paragraph_count") == 0, "SOURCE_PARAGRAPHS_MISSING"), F.when(~link_ok(F.col("link_status")), "SOURCE_LINK_INVALID"), F.when(~F.col("_rights"), "SOURCE_RIGHTS_REQUIRED"))
     return d.select(
         "id", error.alias("error_code"), "paragraph_count", verified.alias("verified"), (verified & F.col("_rights")).alias("searchable"), (verified & ~F.col("_rights")).alias("rights_blocked")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hygiene
+from . import hygiene, records, retrieval
 
-QUERIES = {**hygiene.QUERIES}
-ORACLE = {**hygiene.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **hygiene.QUERIES}
+ORACLE = {**retrieval.ORACLE, **records.ORACLE, **hygiene.ORACLE}
