@@ -77,7 +77,8 @@ def validate_analysis(payload: Column, allowed: Column, elements: list[str] = EL
     steps, bad_steps = plain("nextSteps", 200, 5)
     el = notes("elementNotes", "id")
     fits = F.filter(el, lambda n: F.coalesce(n["id"].isin(elements) & sized(n["text"], 400).isNotNull() & is_neutral(n["text"]), F.lit(False)))
-    first = F.array_compact(F.array(*[F.get(F.filter(fits, lambda n, e=e: n["id"] == e), F.lit(0)) for e in elements]))
+    of = lambda e: F.get(F.filter(fits, lambda n: n["id"] == e), F.lit(0))
+    first = F.array_compact(F.array(*[of(e) for e in elements]))
     order = F.array_distinct(F.transform(fits, lambda n: n["id"]))
     el_kept = F.transform(F.transform(order, lambda i: F.get(F.filter(first, lambda n: n["id"] == i), F.lit(0))), lambda n: F.struct(n["id"].alias("id"), F.trim(n["text"]).alias("text")))
     pr = notes("precedentNotes", "caseNumber")

@@ -135,14 +135,14 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, versio
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = path(root).getFileSystem(conf)
-    out = fs.create(path(f"{root}/_current.tmp"), True)
+    out = fs.create(path(f"{root}/CURRENT.tmp"), True)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
     out.close()
-    if fs.exists(path(f"{root}/_current")):
-        fs.delete(path(f"{root}/_current"), False)
-    fs.rename(path(f"{root}/_current.tmp"), path(f"{root}/_current"))
+    if fs.exists(path(f"{root}/CURRENT")):
+        fs.delete(path(f"{root}/CURRENT"), False)
+    fs.rename(path(f"{root}/CURRENT.tmp"), path(f"{root}/CURRENT"))
 
 
 def published(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    version = json.loads(spark.read.text(f"{root}/_current").first()[0])["version"]
+    version = json.loads(spark.read.text(f"{root}/CURRENT").first()[0])["version"]
     return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
