@@ -2,17 +2,17 @@
 
 Each source's documents form one stream, pass after pass, cut into blocks of equal token size. Block j of a source of
 weight w is released at slot floor(j/w) and due at ceil((j+1)/w); the earliest deadline among the released blocks goes
-next, so no source is ever a whole block ahead of or behind its share. The slots are scheduled in frames of fixed
-length, each in its own task, from the state that the weights imply at its beginning. Stream positions are two-level
+next, so no source is ever a whole block ahead of or behind its share. The driver runs over the slots (at most
+MAX_BLOCKS: beyond that the blocks grow) only to know the state at each frame's beginning; the frames are written out
+by tasks. Stream positions are two-level
 prefix sums over hash chunks, so a source with a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +24,7 @@ BLOCK_TOKENS = 32_768
 FRAME = 4096
 CHUNK_ROWS = 20_000
 MAX_SOURCES = 10_000
+MAX_BLOCKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -59,35 +60,51 @@ def plan_quotas(wanted: list[tuple[str, float, int]], have: dict[str, tuple[int,
     return [SourcePlan(s, w, r, *have.get(s, (0, 0)), quota.get(s, 0)) for s, w, r in wanted]
 
 
-def state_at(slot: int, blocks: dict[str, int]) -> dict[str, int]:
-    """Blocks of each source before ``slot``: the exact share, rounded by largest remainder to the sum ``slot``."""
-    n = sum(blocks.values())
-    exact = {s: Fraction(b * slot, n) for s, b in blocks.items()}
-    out = {s: math.floor(x) for s, x in exact.items()}
-    for s in sorted(out, key=lambda s: (out[s] - exact[s], s))[: slot - sum(out.values())]:
-        out[s] += 1
-    return out
+def _queues(slot: int, at: dict[str, int], blocks: dict[str, int], n: int) -> tuple[list, list]:
+    """The next block of each source by release, or by deadline if it is released."""
+    waiting, ready = [], []
+    for s, b in blocks.items():
+        if at[s] < b:
+            released = at[s] * n // b
+            if released <= slot:
+                ready.append((-(-(at[s] + 1) * n // b), -b, s))
+            else:
+                waiting.append((released, s))
+    heapq.heapify(waiting)
+    heapq.heapify(ready)
+    return waiting, ready
 
 
-def schedule(frame: int, blocks: dict[str, int], length: int = FRAME) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of one frame by earliest deadline first among the released blocks."""
+def schedule(first: int, last: int, at: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) for the slots from ``first`` to ``last``: earliest deadline first among released blocks.
+
+    ``at`` holds the blocks of each source before ``first`` (and is moved on); together with the slot it is the whole
+    state, so a frame goes on exactly where the one before it ended.
+    """
     n = sum(blocks.values())
-    lo, hi = frame * length, min((frame + 1) * length, n)
-    at, end = state_at(lo, blocks), state_at(hi, blocks)
-    waiting = [(at[s] * n // b, s) for s, b in blocks.items() if at[s] < end[s]]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str]] = []
-    out = []
-    for slot in range(lo, hi):
-        while waiting and (waiting[0][0] <= slot or not ready):
+    waiting, ready = _queues(first, at, blocks, n)
+    for slot in range(first, last):
+        while waiting and waiting[0][0] <= slot:
             s = heapq.heappop(waiting)[1]
-            b = blocks[s]
-            heapq.heappush(ready, (-(-(at[s] + 1) * n // b), -b, s))
+            heapq.heappush(ready, (-(-(at[s] + 1) * n // blocks[s]), -blocks[s], s))
         s = heapq.heappop(ready)[2]
-        out.append((s, at[s], slot))
+        yield s, at[s], slot
         at[s] += 1
-        if at[s] < end[s]:
-            heapq.heappush(waiting, (at[s] * n // blocks[s], s))
+        b = blocks[s]
+        if at[s] < b:
+            if at[s] * n // b <= slot + 1:
+                heapq.heappush(ready, (-(-(at[s] + 1) * n // b), -b, s))
+            else:
+                heapq.heappush(waiting, (at[s] * n // b, s))
+
+
+def frame_states(blocks: dict[str, int], length: int = FRAME) -> list[tuple[int, dict[str, int]]]:
+    """(first slot, blocks of each source before it) of every frame, by one pass over all slots."""
+    n, at, out = sum(blocks.values()), dict.fromkeys(blocks, 0), []
+    for first in range(0, n, length):
+        out.append((first, dict(at)))
+        for _ in schedule(first, min(first + length, n), at, blocks):
+            pass
     return out
 
 
@@ -101,7 +118,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, *, source: str, doc_id: str, size: str, total: int | None = None, block_tokens: int = BLOCK_TOKENS):
-        self.spark, self.block = docs.sparkSession, block_tokens
+        self.spark = docs.sparkSession
         t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
             F.sum(F.coalesce("target_share", F.lit(0.0))).alias("w"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("r")
         )
@@ -114,6 +131,7 @@ class Mix:
         ).where(F.col("source").isin(listed))
         sums = self.docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # a row a listed source
         self.plan = plan_quotas(wanted, {r["source"]: (r["n"], r["k"]) for r in sums}, total)
+        self.block = max(block_tokens, -(-sum(p.quota for p in self.plan) // MAX_BLOCKS))
 
     def _positions(self) -> DataFrame:
         """source, doc_id, n_tokens and the document's position in one pass of its source."""
@@ -147,17 +165,19 @@ class Mix:
         """source, block_no, slot: the schedule, made frame by frame in tasks."""
         blocks = self.blocks()
         schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("block_no", T.LongType()), T.StructField("slot", T.LongType())])
-        n = sum(blocks.values())
-        frames = -(-n // FRAME)
-        if not n:
+        if not blocks:
             return self.spark.createDataFrame([], schema)
+        states, n = frame_states(blocks), sum(blocks.values())
+        names = sorted(blocks)
+        frames = self.spark.createDataFrame([(first, [at[s] for s in names]) for first, at in states], "first bigint, at array<bigint>").repartition(min(len(states), 1000))
 
         def run(batches):
             for b in batches:
-                for f in b["id"]:
-                    yield pd.DataFrame(schedule(int(f), blocks), columns=["source", "block_no", "slot"])
+                for first, at in zip(b["first"].tolist(), b["at"]):
+                    rows = schedule(first, min(first + FRAME, n), dict(zip(names, map(int, at))), blocks)
+                    yield pd.DataFrame(rows, columns=["source", "block_no", "slot"])
 
-        return self.spark.range(0, frames, 1, min(frames, 1000)).mapInPandas(run, schema)
+        return frames.mapInPandas(run, schema)
 
     def rows(self) -> DataFrame:
         """slot, source, doc_id, repeat_no, n_tokens, stream_start; the mix is read by slot, then stream_start."""

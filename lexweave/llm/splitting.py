@@ -105,6 +105,9 @@ def greedy_cuts(cp: np.ndarray, bounds: np.ndarray, limit: int, overlap: int) ->
     owner = np.searchsorted(ends, natural)
     is_start = natural == starts[owner]
     following = np.append(natural[1:], natural[-1])
+    # a text's first piece is longer than the overlap, else the second would begin before it
+    begins = np.flatnonzero(is_start)
+    following[begins] = natural[np.minimum(np.searchsorted(natural, natural[begins] + overlap, "right"), len(natural) - 1)]
     first = np.where(is_start, limit, step)
     grid = np.where(natural == ends[owner], 0, np.maximum(0, -(-(following - natural - first) // step)))
     total = int(grid.sum())
@@ -119,8 +122,9 @@ def greedy_cuts(cp: np.ndarray, bounds: np.ndarray, limit: int, overlap: int) ->
     # the farthest boundary of the highest level in the later half of the window, else the farthest of any level
     target = np.where(reach == end, end, -1)
     base = np.where(at_start, nodes, nodes - overlap)
-    floor = np.maximum(nodes, base + limit // 2)
-    for level, low in [(x, floor) for x in levels] + [(natural, nodes), (nodes, nodes)]:
+    least = np.where(at_start, nodes + overlap, nodes)
+    floor = np.maximum(least, base + limit // 2)
+    for level, low in [(x, floor) for x in levels] + [(natural, least), (nodes, least)]:
         if not len(level):
             continue
         p = level[np.maximum(np.searchsorted(level, reach, "right") - 1, 0)]
