@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from .charforms import normalized
+from .charforms import CYRILLIC, GREEK, normalized
 from .history import repeated_decisions
 from .mixing import Mix
 from .packing import pack
@@ -105,7 +105,26 @@ QUERIES = {
     "p5_found": p5_found, "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 
+# The character classes of p3 spelt out, as RE2 has neither tables nor look-around.
+_LETTER, _LATIN = "A-Za-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{370}-\\x{52F}\\x{1F00}-\\x{1FFF}", "A-Za-z\\x{C0}-\\x{24F}"
+_LOOK, _EMOJI = CYRILLIC + GREEK, "\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}"
+_STANDS_FOR = (
+    "\\x{A0}\\x{AD}\\x{300}-\\x{36F}\\x{387}\\x{1100}-\\x{11FF}\\x{2000}-\\x{200C}\\x{200E}-\\x{2012}\\x{2027}-\\x{202F}\\x{205F}-\\x{206F}\\x{2212}\\x{2219}\\x{22C5}"
+    "\\x{3000}\\x{30FB}\\x{318D}\\x{F900}-\\x{FAFF}\\x{FB00}-\\x{FB06}\\x{FEFF}\\x{FF01}-\\x{FFEE}"
+)
+_ODD = " OR ".join(
+    f"regexp_matches(t, '{p}')"
+    for p in (
+        f"[{_STANDS_FOR}]", f"[{_LATIN}][{_LOOK}]|[{_LOOK}][{_LATIN}]", f"(^|[^{_LETTER}])[{_LOOK}]+($|[^{_LETTER}])", f"(^|[^{_EMOJI}\\x{{FE0F}}])\\x{{200D}}|\\x{{200D}}($|[^{_EMOJI}])",
+        f"(^|[^{_EMOJI}])\\x{{FE0F}}",
+    )
+)
+
 ORACLE = {
+    "p3_found": f"""
+SELECT DISTINCT table_name, record_id, paragraph_id FROM (
+  SELECT 'precedent_paragraphs' AS table_name, precedent_id AS record_id, paragraph_id, body AS t FROM precedent_paragraphs
+  UNION ALL SELECT 'intake_sessions', id, '', redacted_text FROM intake_sessions) WHERE {_ODD}""",
     "p2_found": """
 SELECT DISTINCT 'precedents' AS table_name, p.id AS precedent_id, '' AS paragraph_id FROM precedents p, size_limits l
 WHERE l.table_name = 'precedents' AND l.unit = 'chars' AND length(p.source_text) > l.max_size
