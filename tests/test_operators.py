@@ -292,3 +292,27 @@ def test_st4_st5_streams(spark, tmp_path):
 def test_schemas_parse(spark):
     for name, ddl in SCHEMAS.items():
         assert spark.createDataFrame([], ddl).count() == 0, name
+
+
+def fake_client(method, url, headers):
+    if "boom" in url:
+        raise OSError
+    if "away" in url:
+        return 200, "https://evil.test/"
+    return (405 if method == "HEAD" and "get" in url else 404 if "gone" in url else 206 if headers else 200), url
+
+
+def test_src11_links(spark):
+    from lexweave.sources import links
+
+    urls = ["https://a.kr/ok", "https://a.kr/get", "https://a.kr/gone", "https://a.kr/away", "https://a.kr/boom", "http://a.kr/ok", "https://b.kr/", "x", None]
+    assert [links.link_status(u, fake_client, {"a.kr"}) for u in urls] == [200, 206, 404, 0, 0, 0, 0, 0, 0]
+    df = spark.createDataFrame([(u,) for u in urls[:2] * 2], "u string")
+    assert rows(links.probe(df, "u", fake_client, {"a.kr"})) == [("https://a.kr/get", 206), ("https://a.kr/ok", 200)]
+
+
+def test_v7_f12_r23(spark):
+    d = spark.createDataFrame([("a", "c", "n", "x", DAY.date(), "https://law.go.kr/1"), ("b", "c", " ", "x", DAY.date(), "https://law.go.kr/1"), ("c", "c", "n", "x", None, "https://law.go.kr/1"), ("d", "c", "n", "x", DAY.date(), "ftp://law.go.kr/1")], "id string, court string, case_number string, case_name string, decision_date date, official_url string")
+    assert [r.id for r in search.identified(d, verify.OFFICIAL_HOSTS).collect()] == ["a"]
+    j = d.limit(1).select(grounding.analysis_input(F.lit("s"), F.array(F.lit("e")), F.lit("t"), F.array(F.struct("id"))).alias("j")).first().j
+    assert json.loads(j) == {"statute": "s", "elements": ["e"], "description": "t", "precedents": [{"id": "a"}]}
