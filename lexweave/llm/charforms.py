@@ -265,7 +265,7 @@ def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, starts[offsets - offsets[0]]
 
 
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 
 def slices(batch: pa.RecordBatch, *columns: str):

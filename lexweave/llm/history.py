@@ -27,7 +27,7 @@ from .splitting import _last
 
 GRAM = 8
 TEXT_DIMS = 24
-TAU = 0.95
+TAU = 1.2  # unit text vectors: a cosine of 0.28
 RING = TAU / 2
 MAX_CENTROIDS = 4096
 SAMPLE_ROWS = 20_000
