@@ -1,6 +1,7 @@
 """What changed between full snapshots: set reconciliation by invertible Bloom lookup tables (IBLT).
 
-Plan: rows are projected to key, 64-bit digest of the canonical hash and order, and shuffled once by key-hash bucket.
+Plan: rows are projected to key, 64-bit digest of the canonical hash and order; the last row of each key and snapshot is
+taken with a map-side combine (a key may be repeated without bound), and what is left is grouped by key-hash bucket.
 The number of buckets follows the row count, so a bucket is bounded whatever the key, provider or court distribution
 (buckets are hashes of whole record keys: a hot provider spreads over all of them). Inside a bucket each snapshot
 becomes an IBLT; the tables of consecutive deliveries are subtracted and peeled, which costs O(differences); a bucket
@@ -120,17 +121,13 @@ def reconcile(earlier: np.ndarray, later: np.ndarray, cells: int = 64, sketches:
 
 
 def _bucket_changes(names: list[str], numbers: list[int], schema: pa.Schema):
-    """Arrow function over one bucket: last row of each key and snapshot, tables, subtraction, peeling, classification."""
+    """Arrow function over one bucket: tables, subtraction, peeling, classification."""
 
     def run(t: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
             col = lambda n: t.column(n).combine_chunks().to_numpy(zero_copy_only=False)
-            snap, k1, k2, h, ts = (col(n) for n in ("_snap", "_k1", "_k2", "_h", "_ts"))
-            order = np.lexsort((h, ts, k2, k1, snap))
-            s, a, b = snap[order], k1[order], k2[order]
-            last = np.ones(len(order), bool)
-            last[:-1] = (s[1:] != s[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            order = order[last]
+            snap, k1, k2, h = (col(n) for n in ("_snap", "_k1", "_k2", "_h"))
+            order = np.lexsort((k2, k1, snap))
             words = np.stack([x[order].view(np.uint64) for x in (k1, k2, h)])
             words = np.concatenate([words, _pair(*words, 101)[None]])
             bounds = np.searchsorted(snap[order], np.array([[n, n + 1] for n in numbers]).ravel()).reshape(-1, 2)
@@ -199,8 +196,11 @@ def snapshot_changes(
         F.col(snapshot).cast("int").alias("_snap"), *cols,
         F.xxhash64(F.col(digest).isNull(), canonical_hex(F.col(digest).cast("string"))).alias("_h"),
         F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62))).alias("_ts"),
-    ).withColumn("_b", F.pmod(F.xxhash64(F.lit(0), *parts), F.lit(buckets)).cast("int"))
+    )
+    # the last row of a key and snapshot, combined before the shuffle: a key repeated without bound stays one row a task
+    slim = slim.groupBy("_snap", *names).agg(F.max(F.struct("_ts", "_h")).alias("_v")).select("_snap", *names, "_v.*")
+    slim = slim.withColumn("_b", F.pmod(F.xxhash64(F.lit(0), *parts), F.lit(buckets)).cast("int"))
     slim = slim.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *parts)})
     fields = [("snapshot_no", pa.int32()), *((n, pa.string()) for n in names), ("change_kind", pa.string())]
     ddl = ", ".join(f"{n} {'int' if t == pa.int32() else 'string'}" for n, t in fields)
-    return slim.groupBy("_b").applyInArrow(_bucket_changes(names, numbers, pa.schema(fields)), ddl)
+    return slim.drop("_ts").groupBy("_b").applyInArrow(_bucket_changes(names, numbers, pa.schema(fields)), ddl)
