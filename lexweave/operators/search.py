@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import compare_facts, facts, focus, focus_penalty, is_known, is_target_case, with_defaults
+from ..functions.rules import compare_facts, facts, focus, focus_penalty, is_known, is_target_case, let, with_defaults
 from ..functions.text import clamp, half_up, normalize_query, query_terms, tokens
 from .embedding import cosine, is_vector
 
@@ -192,14 +192,18 @@ def search_batch(corpus: DataFrame, queries: DataFrame, limit: int = 5, max_quer
     """J10, T3. Many described cases (query_id, text) against the corpus in one plan.
 
     The queries are the small side, checked against ``max_queries``; they are met with every gated record, in blocks
-    of the corpus, and hits are counted by a lookup of each word in the query's terms.
+    of the corpus, and hits are counted by a lookup of the record's asked words in the query's terms.
     """
     q = queries.select("query_id", query_terms(normalize_query(F.col("text"))).alias("terms"), facts(F.col("text"), normalize=normalize).alias("qf"))
     if q.limit(max_queries + 1).count() > max_queries:
         raise ValueError("more queries than max_queries: search them in parts")
     q = q.where((F.col("qf.expressionType") != "other") | F.array_contains("qf.issueTags", "성적표현")).withColumn("terms", F.transform("terms", F.lower))
+    # of each record only the words that any query asks for go on, spread over all tasks, to the pairs
+    asked = q.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("asked"))  # one row, bounded by max_queries
     words = tokens(F.concat_ws(" ", "court", "case_number", "case_name", "source_text"))
-    d = corpus.where(F.col("searchable") & is_target_case(F.col("case_name"), normalize)).select("id", "case_name", "decision_date", words.alias("words"), with_defaults(F.col("facts")).alias("_f"))
+    kept = let(words, lambda ws: let(F.array_intersect(ws, F.col("asked")), lambda some: F.filter(ws, lambda w: F.array_contains(some, w))))
+    d = corpus.where(F.col("searchable") & is_target_case(F.col("case_name"), normalize)).crossJoin(F.broadcast(asked))
+    d = d.select("id", "case_name", "decision_date", kept.alias("words"), with_defaults(F.col("facts")).alias("_f")).repartition("id")
     d = d.crossJoin(F.broadcast(q)).withColumn("hits", F.size(F.filter("words", lambda w: F.array_contains(F.col("terms"), w)))).drop("words")
     d = d.where(tag_overlap(F.col("_f"), F.col("qf"), F.col("hits"))).withColumn("rank", F.col("hits") * F.lit(HIT_RANK))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), F.desc_nulls_last("decision_date"), F.asc("id")))
