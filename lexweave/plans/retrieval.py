@@ -270,3 +270,20 @@ ORACLE = {
       FROM (SELECT id, q, list_filter(list_transform(string_split_regex(q, '{SPACE.replace(chr(92) + 'x{FEFF}', '')}+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: length(w) >= 2) AS w FROM (SELECT id, {_NORMAL} AS q FROM intake_sessions))""",
     "snippets": "SELECT id, substr(regexp_replace(source_text, '<[^>]+>', ' ', 'g'), 1, 360) AS snippet FROM precedents",
 }
+
+_PAIRS = [("medium", "medium"), ("form", "form"), ("recipient", "recipient"), ("reached", "reached"), ("relationship", "relationship"), ("context", "context"), ("expression", "expression"), ("repetition", "repetition")]
+_BOTH = " + ".join(f"(d.{c} NOT IN ('unknown', 'other') AND q.{c} NOT IN ('unknown', 'other'))::INT" for c, _ in _PAIRS)
+_SAME = " + ".join(f"(d.{c} NOT IN ('unknown', 'other') AND d.{c} = q.{c})::INT" for c, _ in _PAIRS)
+_ARMS = " OR ".join(f"(q.{c} NOT IN ('unknown', 'other') AND d.{c} = q.{c})" for c in ("medium", "recipient", "relationship", "context", "expression", "repetition"))
+_UNION = "len(list_distinct(list_concat(d.tags, q.tags)))"
+ORACLE["batch_search"] = f"""WITH q AS (SELECT *, list_transform(list_filter(w, lambda x, i: list_position(w, x) = i)[1:24], lambda x: lower(x)) AS terms FROM (
+    SELECT *, list_filter(list_transform(string_split_regex(n, '{SPACE.replace(chr(92) + 'x{FEFF}', '')}+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: length(w) >= 2) AS w
+    FROM ({facts_sql(f"SELECT DISTINCT id AS query_id, redacted_text AS txt, {_NORMAL} AS n FROM intake_sessions WHERE ('0x' || substr(id, 1, 7))::BIGINT % 100 = 0")}))
+    WHERE expression <> 'other' OR list_contains(tags, '성적표현')),
+  d AS (SELECT *, regexp_extract_all(lower({_WORDS}), '[\\p{{L}}\\p{{N}}]+') AS words FROM ({facts_sql("SELECT *, source_text AS txt FROM precedents WHERE searchable AND contains(case_name, '통신매체이용음란')")})),
+  x AS (SELECT q.query_id, d.id, d.decision_date, {focus_sql('d.case_name')} AS focus, len(list_filter(d.words, lambda w: list_contains(q.terms, w))) AS hits, ({_ARMS} OR len(list_intersect(d.tags, q.tags)) > 0) AS tagged,
+      CASE WHEN ({_BOTH}) <= 1 THEN 0 ELSE floor(({_SAME}) * 100.0::DOUBLE / ({_BOTH}) + 0.5) END::BIGINT AS tag_score,
+      CASE WHEN {_UNION} = 0 THEN 0 ELSE floor(len(list_intersect(d.tags, q.tags)) * 100.0::DOUBLE / {_UNION} + 0.5) END::BIGINT AS issue FROM d, q),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, decision_date DESC NULLS LAST, id) AS n FROM x WHERE hits > 0 OR tagged),
+  s AS (SELECT *, greatest(0, floor(0.45::DOUBLE * floor(least(hits * 0.1 / 0.5, 1.0) * 100 + 0.5) + 0.45::DOUBLE * tag_score + 0.10::DOUBLE * issue - {penalty_sql('focus')} + 0.5))::BIGINT AS score FROM k WHERE n <= 50)
+  SELECT query_id, id, score, tag_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tag_score DESC, decision_date DESC NULLS LAST, id) AS m FROM s WHERE score >= 55) WHERE m <= 5"""
