@@ -1,8 +1,8 @@
 """Deduplicating new batches against all history: a persisted inverted file of vector cells with full vectors.
 
 A record has one vector for each identity it may be known by: court with case number (digits of the serial in any
-order, each number of a joined case), and provider with record id; court with date where there is no number. The
-identity gives three coordinates (a point in a cube whose side follows the record count, so unrelated identities lie
+order, each number of a joined case), court with date, and provider with record id. A record without court has number
+and date alone, and meets them in records with court too. The identity gives three coordinates (a point in a cube whose side follows the record count, so unrelated identities lie
 apart), the text a unit vector of signed 8-gram counts. Equal identities thus differ by their texts only, and the
 space has few dimensions in which cells and distance bounds prune well.
 
@@ -69,16 +69,18 @@ def _any_order(number: Column) -> Column:
 
 
 def with_identities(df: DataFrame) -> DataFrame:
-    """Adds _court, _numbers and _views (hashes of the identities of a record)."""
+    """Adds _court, _numbers, _views (hashes of the identities of a record) and _loose (those it would have without its court)."""
     names = ("court", "case_number", "provider_record_id")
     d = df.withColumns({c: normalized(F.col(c).cast("string")) for c in names})
     d = d.withColumn("_court", canonical_court(F.col("court"))).withColumn("_numbers", case_numbers(F.col("case_number")))
     rid = F.regexp_extract(_plain(F.col("provider_record_id")), r"(\d{3,})", 1)
-    by_number = F.transform("_numbers", lambda n: F.xxhash64(F.lit("n"), F.col("_court"), _any_order(n)))
-    by_date = F.when((F.size("_numbers") == 0) & F.col("decision_date").isNotNull(), F.array(F.xxhash64(F.lit("d"), F.col("_court"), F.col("decision_date").cast("string"))))
+    day = F.col("decision_date").cast("string")
+    by_number = lambda *court: F.transform("_numbers", lambda n: F.xxhash64(F.lit("n"), *court, _any_order(n)))
+    by_date = lambda *court: F.when(day.isNotNull(), F.array(F.xxhash64(F.lit("d"), *court, day)))
     by_record = F.when((F.col("provider") != "") & (rid != ""), F.array(F.xxhash64(F.lit("r"), F.col("provider"), rid)))
-    none = F.array().cast("array<bigint>")
-    return d.withColumn("_views", F.array_distinct(F.concat(by_number, F.coalesce(by_date, none), F.coalesce(by_record, none))))
+    none, court = F.array().cast("array<bigint>"), F.col("_court")  # a null court leaves the hash as it is without
+    d = d.withColumn("_views", F.array_distinct(F.concat(by_number(court), F.coalesce(by_date(court), none), F.coalesce(by_record, none))))
+    return d.withColumn("_loose", F.when(court.isNotNull(), F.array_distinct(F.concat(by_number(), F.coalesce(by_date(), none)))).otherwise(none))
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
@@ -198,8 +200,8 @@ def _texts(batches):
         h, row, digest = grams(b.column("text"))
         v = text_vectors(h, row, len(b))
         vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) + 1) * TEXT_DIMS, pa.int32()), pa.array(v.ravel()))
-        cols = [b.column("id"), b.column("batch_no"), b.column("court"), b.column("numbers"), b.column("views"), pa.array(digest.view(np.int64)), vec]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "batch_no", "court", "numbers", "views", "digest", "vec"])
+        cols = [b.column("id"), b.column("batch_no"), b.column("court"), b.column("numbers"), b.column("views"), b.column("loose"), pa.array(digest.view(np.int64)), vec]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "batch_no", "court", "numbers", "views", "loose", "digest", "vec"])
 
 
 _KEPT = ["id", "batch_no", "court", "numbers"]
@@ -250,10 +252,10 @@ class HistoryIndex:
     @staticmethod
     def encode(records: DataFrame) -> DataFrame:
         d = with_identities(records).select(
-            "id", F.col("batch_no").cast("int").alias("batch_no"), F.col("_court").alias("court"), F.col("_numbers").alias("numbers"), F.col("_views").alias("views"),
+            "id", F.col("batch_no").cast("int").alias("batch_no"), F.col("_court").alias("court"), F.col("_numbers").alias("numbers"), F.col("_views").alias("views"), F.col("_loose").alias("loose"),
             F.coalesce("source_text", F.lit("")).alias("text"),
         )
-        return d.mapInArrow(_texts, "id string, batch_no int, court string, numbers array<string>, views array<bigint>, digest bigint, vec array<float>")
+        return d.mapInArrow(_texts, "id string, batch_no int, court string, numbers array<string>, views array<bigint>, loose array<bigint>, digest bigint, vec array<float>")
 
     @classmethod
     def build(cls, spark: SparkSession, encoded: DataFrame) -> HistoryIndex:
@@ -357,6 +359,16 @@ def groups(edges: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
+def with_courtless(rows: DataFrame) -> DataFrame:
+    """Adds to ``views`` of rows with a court the identities that rows without one have."""
+    asked = rows.where(F.col("court").isNull()).select(F.explode("views").alias("v")).distinct()
+    if asked.isEmpty():
+        return rows
+    met = rows.select("id", F.explode("loose").alias("v")).join(asked, "v", "left_semi").groupBy("id").agg(F.collect_set("v").alias("_met"))
+    met = rows.join(met, "id", "left").withColumn("views", F.array_distinct(F.concat("views", F.coalesce("_met", F.array().cast("array<bigint>")))))
+    return durable(met.drop("_met"))
+
+
 def repeated_decisions(records: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records of the same decision, of which at least one is in a batch > 0.
 
@@ -373,6 +385,7 @@ def repeated_decisions(records: DataFrame) -> DataFrame:
     copies = durable(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), "batch_no"))
     # a later copy of the same delivery adds nothing but its own provider's number: only that identity is matched
     rows = encoded.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
+    rows = with_courtless(rows)
     index = HistoryIndex.build(spark, rows.where(F.col("batch_no") == 0))
     fresh = rows.where(F.col("batch_no") > 0)
     index.append(fresh)

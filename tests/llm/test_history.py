@@ -128,3 +128,16 @@ def test_edges(spark):
     assert pairs(spark, [row("a", 0, number=None), row("b", 1, number="")]) == [("a", "b")]  # by court and day
     long = text(random.Random(4), 30_000)
     assert pairs(spark, [row("a", 0, text=long), row("b", 1, text=long + ".")]) == [("a", "b")]
+
+
+def test_empty_and_wrong_fields_from_another_provider(spark):
+    t = text(random.Random(5))
+    row = lambda i, b, rid, **k: (i, b, *{"provider": "p" + i, "rid": rid, "court": "새솔지방법원", "number": "2019고단7345", "day": DAY, "text": t, **k}.values())
+    first, small = row("a", 0, "100001"), t + " 고침"
+    for k in ({"number": ""}, {"number": None}, {"number": "2019고단9812"}, {"court": ""}, {"court": None, "day": None}, {"court": None, "number": "2019고단9812"}, {"court": "", "number": ""}):
+        assert pairs(spark, [first, row("b", 1, "200002", **{"text": small, **k})]) == [("a", "b")], k
+        assert pairs(spark, [row("a", 0, "100001", **k), row("b", 1, "200002", text=small)]) == [("a", "b")], k  # the history has the empty field
+    other = text(random.Random(6))
+    for k in ({"number": ""}, {"court": ""}, {"number": "2019고단9812", "court": None}):  # strangers of the same day stay apart
+        assert pairs(spark, [first, row("b", 1, "200002", **{"text": other, **k})]) == []
+    assert pairs(spark, [first, row("b", 1, "200002", court="누리중앙지방법원")]) == []
