@@ -382,9 +382,13 @@ def repeated_decisions(records: DataFrame) -> DataFrame:
     twins = encoded.groupBy("court", "numbers", "digest").agg(F.min_by("id", F.struct("batch_no", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
     some = (F.size("numbers") > 0) & F.col("court").isNotNull() & (F.col("digest") != 0)
     copies = encoded.join(twins.where((F.col("n") > 1) & some), ["court", "numbers", "digest"]).where(F.col("id") != F.col("first"))
-    copies = durable(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), "batch_no"))
-    # a later copy of the same delivery adds nothing but its own provider's number: only that identity is matched
-    rows = encoded.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
+    copies = durable(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), "batch_no", "views", "loose"))
+    # the row that stays is known by the identities of all its copies, so that what shares one with any of them meets it
+    both = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    of_copies = copies.groupBy(F.col("a").alias("id")).agg(both("views").alias("_views"), both("loose").alias("_loose"))
+    rows = encoded.join(copies.select(F.col("b").alias("id")), "id", "left_anti").join(of_copies, "id", "left")
+    union = lambda c: F.array_distinct(F.concat(c, F.coalesce(f"_{c}", F.array().cast("array<bigint>"))))
+    rows = rows.withColumns({c: union(c) for c in ("views", "loose")}).drop("_views", "_loose")
     rows = with_courtless(rows)
     index = HistoryIndex.build(spark, rows.where(F.col("batch_no") == 0))
     fresh = rows.where(F.col("batch_no") > 0)

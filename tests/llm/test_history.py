@@ -141,3 +141,12 @@ def test_empty_and_wrong_fields_from_another_provider(spark):
     for k in ({"number": ""}, {"court": ""}, {"number": "2019고단9812", "court": None}):  # strangers of the same day stay apart
         assert pairs(spark, [first, row("b", 1, "200002", **{"text": other, **k})]) == []
     assert pairs(spark, [first, row("b", 1, "200002", court="누리중앙지방법원")]) == []
+
+
+def test_identities_of_exact_copies_are_kept(spark):
+    t = text(random.Random(8))
+    row = lambda i, b, p, rid, **k: (i, b, *{"provider": p, "rid": rid, "court": "새솔지방법원", "number": "2019고단7345", "day": DAY, "text": t, **k}.values())
+    a, b = row("a", 0, "x", "100001"), row("b", 1, "y", "200456")
+    for k in ({"number": ""}, {"number": "2019고단9812"}):
+        # C shares an identity with the copy B only
+        assert pairs(spark, [a, b, row("c", 2, "y", "200456", day=DAY + dt.timedelta(9), text=t + " 고침", **k)]) == [("a", "b"), ("a", "c"), ("b", "c")]
