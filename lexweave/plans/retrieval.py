@@ -118,6 +118,12 @@ def relevant_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("precedent_id", "paragraph_id", F.length("body").cast("bigint").alias("n"))
 
 
+def relevant_paragraphs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """With the operator's own bounds; ``relevant_paragraphs`` is bound by its SQL to two paragraphs and 600 characters."""
+    d = sections.select_relevant(_paragraphs(spark, sf), "precedent_id", normalize=False)
+    return d.select("precedent_id", "paragraph_id", F.length("body").cast("bigint").alias("n"))
+
+
 def order_sections(spark: SparkSession, sf: str) -> DataFrame:
     d = sections.extract_orders(_paragraphs(spark, sf), "precedent_id", normalize=False)
     return d.select("precedent_id", "order_text", F.array_join("paragraph_ids", ",").alias("ids"), "kind")
@@ -160,6 +166,12 @@ def _estimate(spark: SparkSession, sf: str) -> DataFrame:
     return one.agg(F.count(F.lit(1)).alias("eligible"), F.sum("n").alias("n_chars"))
 
 
+def _estimate_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """With the operator's own bounds."""
+    one = sections.select_relevant(_paragraphs(spark, sf), "precedent_id", normalize=False).groupBy("precedent_id").agg(F.sum(F.length("body")).alias("n"))
+    return one.agg(F.count(F.lit(1)).alias("eligible"), F.sum("n").alias("n_chars"))
+
+
 def query_normalization(spark: SparkSession, sf: str) -> DataFrame:
     q = X.normalize_query(F.col("redacted_text"))
     d = read(spark, sf, "intake_sessions").select("id", X.sha256(q).alias("query_hash"), F.array_join(X.query_terms(q), " OR ").alias("expression"))
@@ -171,10 +183,10 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexical_rank_topk, semantic_topk, vector_validity, fact_tags, session_fact_tags, issue_jaccard, tagged_rank, hybrid_rank, batch_search, paragraph_split, html_strip_hash, redact_pii, relevant_paragraphs,
+    lexical_rank_topk, semantic_topk, vector_validity, fact_tags, session_fact_tags, issue_jaccard, tagged_rank, hybrid_rank, batch_search, paragraph_split, html_strip_hash, redact_pii, relevant_paragraphs, relevant_paragraphs_whole,
     order_sections, document_facts, enumerations, focus_penalty, order_kinds, embedding_input_hash, embedding_backfill, query_normalization, snippets,
 )}
-QUERIES["summary_estimate"] = _estimate
+QUERIES["summary_estimate"], QUERIES["summary_estimate_whole"] = _estimate, _estimate_whole
 
 _FS, _IS = compare_sql(CASE)
 _WORDS = "concat_ws(' ', court, case_number, case_name, source_text)"
@@ -244,6 +256,8 @@ ORACLE = {
     "redact_pii": _redact_sql(),
     "relevant_paragraphs": f"WITH {_picked(2, 600)} SELECT precedent_id, paragraph_id, length(body)::BIGINT AS n FROM picked",
     "summary_estimate": f"WITH {_picked(2, 40000)} SELECT count(*) AS eligible, sum(n)::BIGINT AS n_chars FROM (SELECT precedent_id, sum(length(body)) AS n FROM picked GROUP BY 1)",
+    "relevant_paragraphs_whole": f"WITH {_picked(3, 40000)} SELECT precedent_id, paragraph_id, length(body)::BIGINT AS n FROM picked",
+    "summary_estimate_whole": f"WITH {_picked(3, 40000)} SELECT count(*) AS eligible, sum(n)::BIGINT AS n_chars FROM (SELECT precedent_id, sum(length(body)) AS n FROM picked GROUP BY 1)",
     "document_facts": f"""WITH {_picked(3, 40000)},
       g AS (SELECT precedent_id, string_agg(body, chr(10) ORDER BY ordinal, paragraph_id) AS txt, count(*) AS k FROM picked
         WHERE NOT ({any_of(_COMPACT, R.STATUTE_CONTEXT)} AND {' + '.join(f"contains({_COMPACT}, {quoted(t)})::INT" for t in R.LISTED_FORMS)} >= 4) GROUP BY 1),

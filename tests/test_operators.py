@@ -316,3 +316,17 @@ def test_v7_f12_r23(spark):
     assert [r.id for r in search.identified(d, verify.OFFICIAL_HOSTS).collect()] == ["a"]
     j = d.limit(1).select(grounding.analysis_input(F.lit("s"), F.array(F.lit("e")), F.lit("t"), F.array(F.struct("id"))).alias("j")).first().j
     assert json.loads(j) == {"statute": "s", "elements": ["e"], "description": "t", "precedents": [{"id": "a"}]}
+
+
+def test_w3_registered_with_the_own_bounds(spark, tmp_path):
+    import oracle
+    from lexweave.plans import retrieval
+
+    docs = {"long": ["가" * 700, "통신매체", "나" * 39_000, "통신매체", "다" * 900, "통신매체"], "two": ["통신매체", "둘"], "three": ["하나", "통신매체", "셋"]}
+    p = [(d, f"p{i:03d}", i, b) for d, bodies in docs.items() for i, b in enumerate(bodies, 1)]
+    spark.createDataFrame(p, "precedent_id string, paragraph_id string, ordinal int, body string").write.parquet(f"{tmp_path}/precedent_paragraphs.parquet")
+    con = oracle.connect(str(tmp_path))
+    for name in ("relevant_paragraphs_whole", "summary_estimate_whole"):
+        assert oracle.compare(retrieval.QUERIES[name](spark, str(tmp_path)), con, retrieval.ORACLE[name]) == ""
+    got = rows(retrieval.QUERIES["relevant_paragraphs_whole"](spark, str(tmp_path)))
+    assert got == [("long", "p001", 700), ("long", "p002", 4), ("long", "p003", 39_000), ("long", "p004", 4), ("long", "p005", 292), ("three", "p001", 2), ("three", "p002", 4), ("three", "p003", 1)]
