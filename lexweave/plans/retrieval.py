@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as X
@@ -92,6 +93,38 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search.rank_hybrid(d, 20, 20).select("id", "score", "semantic_score")
 
 
+def _vector_queries(e: DataFrame) -> DataFrame:
+    """Vectors whose id is divisible by 100: a hundredth of the table, the side that is broadcast."""
+    return F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))
+
+
+def _first(d: DataFrame, order: list) -> DataFrame:
+    """VECTOR_LIMIT rows of each query."""
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return d.withColumn("_n", n).where(F.col("_n") <= search.VECTOR_LIMIT).drop("_n")
+
+
+def semantic_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors whose id is divisible by 100, each against all rows."""
+    e = read(spark, sf, "embeddings")
+    d = e.crossJoin(_vector_queries(e)).where(F.size("embedding") == F.size("asked")).withColumn("s", embedding.cosine(F.col("embedding"), F.col("asked")))
+    d = d.select("query_id", "vec_id", "s").where(F.col("s").isNotNull() & ~F.isnan("s"))
+    return _first(d, [F.desc("s"), F.asc("vec_id")]).select("query_id", "vec_id", F.round("s", 5).alias("similarity"))
+
+
+def hybrid_rank_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The described case with all vectors whose id is divisible by 100; records take any vector of the table."""
+    e = read(spark, sf, "embeddings")
+    n = e.count()
+    p = _precedents(spark, sf).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % F.lit(n))
+    c = search.Corpus(p.join(e.select("vec_id", "embedding"), "vec_id"), normalize=False).gated().where(search.fresh(F.lit(AS_OF).cast("timestamp_ntz"), HOURS))
+    c = c.withColumn("comparison", R.compare_facts(_case(), R.with_defaults(R.facts(F.col("source_text"), normalize=False)))).withColumn("focus", R.focus(F.col("case_name"), False))
+    c = c.select("id", "decision_date", "embedding", "comparison", "focus").crossJoin(_vector_queries(e)).where(F.size("embedding") == F.size("asked"))
+    d = c.withColumn("similarity", embedding.cosine(F.col("embedding"), F.col("asked"))).drop("embedding", "asked").withColumn("s6", F.round("similarity", 6))
+    d = _first(d, [F.desc("s6"), F.desc_nulls_last("decision_date"), F.asc("id")])
+    return search.rank_hybrid(d, 20, 20).select("query_id", "id", "score", "semantic_score")
+
+
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions whose id (its first digits as a number) is divisible by 100, against all records."""
     q = read(spark, sf, "intake_sessions").where(F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 100 == 0).select(F.col("id").alias("query_id"), F.col("redacted_text").alias("text")).distinct()
@@ -183,7 +216,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexical_rank_topk, semantic_topk, vector_validity, fact_tags, session_fact_tags, issue_jaccard, tagged_rank, hybrid_rank, batch_search, paragraph_split, html_strip_hash, redact_pii, relevant_paragraphs, relevant_paragraphs_whole,
+    lexical_rank_topk, semantic_topk, vector_validity, fact_tags, session_fact_tags, issue_jaccard, tagged_rank, hybrid_rank, semantic_topk_batch, hybrid_rank_batch, batch_search, paragraph_split, html_strip_hash, redact_pii, relevant_paragraphs, relevant_paragraphs_whole,
     order_sections, document_facts, enumerations, focus_penalty, order_kinds, embedding_input_hash, embedding_backfill, query_normalization, snippets,
 )}
 QUERIES["summary_estimate"], QUERIES["summary_estimate_whole"] = _estimate, _estimate_whole
@@ -250,6 +283,16 @@ ORACLE = {
       s AS (SELECT id, decision_date, greatest(least(sim, 1.0), 0.0) * 100 AS p, {_FS} AS fs, {_IS} AS iss, {focus_sql('case_name')} AS focus FROM k)
       SELECT id, score, semantic_score FROM (SELECT id, decision_date, floor(p + 0.5)::BIGINT AS semantic_score, greatest(0, floor(0.45::DOUBLE * p + 0.45::DOUBLE * fs + 0.10::DOUBLE * iss - {penalty_sql('focus')} + 0.5))::BIGINT AS score FROM s)
       WHERE score >= 20 ORDER BY score DESC, decision_date DESC NULLS LAST, id LIMIT 20""",
+    "semantic_topk_batch": """SELECT query_id, vec_id, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM (
+      SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE n <= 20""",
+    "hybrid_rank_batch": f"""WITH f AS ({facts_sql("SELECT *, source_text AS txt FROM precedents WHERE searchable AND contains(case_name, '통신매체이용음란')")}),
+      q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+      c AS (SELECT f.*, q.query_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM f JOIN embeddings e ON e.vec_id = ('0x' || substr(f.id, 1, 7))::BIGINT % (SELECT count(*) FROM embeddings), q
+            WHERE verified_at IS NOT NULL AND link_checked_at >= TIMESTAMP '{AS_OF}' - INTERVAL {HOURS} HOUR AND link_status BETWEEN 200 AND 399),
+      k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, decision_date DESC NULLS LAST, id) AS kn FROM c) WHERE kn <= 20),
+      s AS (SELECT query_id, id, decision_date, greatest(least(sim, 1.0), 0.0) * 100 AS p, {_FS} AS fs, {_IS} AS iss, {focus_sql('case_name')} AS focus FROM k),
+      t AS (SELECT query_id, id, decision_date, floor(p + 0.5)::BIGINT AS semantic_score, greatest(0, floor(0.45::DOUBLE * p + 0.45::DOUBLE * fs + 0.10::DOUBLE * iss - {penalty_sql('focus')} + 0.5))::BIGINT AS score FROM s)
+      SELECT query_id, id, score, semantic_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, decision_date DESC NULLS LAST, id) AS m FROM t WHERE score >= 20) WHERE m <= 20""",
     "paragraph_split": f"""SELECT id, i AS ordinal, 'p' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, '0') AS paragraph_id, sha256(ps[i]) AS body_hash
       FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT id, {paragraphs_sql('source_text')} AS ps FROM precedents))""",
     "html_strip_hash": f"SELECT id, sha256({_CLEAN}) AS clean_hash FROM precedents",

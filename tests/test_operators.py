@@ -330,3 +330,23 @@ def test_w3_registered_with_the_own_bounds(spark, tmp_path):
         assert oracle.compare(retrieval.QUERIES[name](spark, str(tmp_path)), con, retrieval.ORACLE[name]) == ""
     got = rows(retrieval.QUERIES["relevant_paragraphs_whole"](spark, str(tmp_path)))
     assert got == [("long", "p001", 700), ("long", "p002", 4), ("long", "p003", 39_000), ("long", "p004", 4), ("long", "p005", 292), ("three", "p001", 2), ("three", "p002", 4), ("three", "p003", 1)]
+
+
+def test_vector_queries_are_every_hundredth_vector(spark, tmp_path):
+    import random
+
+    import oracle
+    from lexweave.plans import retrieval
+
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(701)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/precedents.parquet").write.parquet(f"{tmp_path}/precedents.parquet")
+    con = oracle.connect(str(tmp_path))
+    for name in ("semantic_topk_batch", "hybrid_rank_batch"):
+        got = retrieval.QUERIES[name](spark, str(tmp_path))
+        assert oracle.compare(got, con, retrieval.ORACLE[name]) == ""
+        assert {r.query_id for r in got.collect()} == set(range(0, 701, 100)), name
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    near = sorted(range(701), key=lambda i: -sum(x * y for x, y in zip(vectors[600], vectors[i])) / norm(vectors[i]))[:20]
+    assert {r.vec_id for r in retrieval.semantic_topk_batch(spark, str(tmp_path)).where("query_id = 600").collect()} == set(near)
