@@ -9,7 +9,7 @@ from ..session import read
 from .charforms import CYRILLIC, GREEK, normalized
 from .history import repeated_decisions
 from .mixing import Mix
-from .packing import pack
+from .packing import pack, piece_texts
 from .splitting import split_oversized
 from .stuffing import stuffing
 
@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = [(r["limit_name"], r["max_size"]) for r in _limits(spark, sf_dir, "tokens")]
-    return pack(read(spark, sf_dir, "documents"), limits, item_id="doc_id", size="n_tokens")
+    return pack(read(spark, sf_dir, "documents"), limits, item_id="doc_id", size="n_tokens", text="text")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("limit_name", "container_id", F.col("item_id").cast("bigint").alias("doc_id"), "piece_no", "piece_start", F.col("size").alias("n_tokens"))
 
 
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document that is larger than a container, with their texts."""
+    out = piece_texts(read(spark, sf_dir, "documents"), _packed(spark, sf_dir), item_id="doc_id", text="text")
+    return out.select("limit_name", "container_id", F.col("item_id").cast("bigint").alias("doc_id"), "piece_no", "piece_start", F.col("size").alias("n_tokens"), "piece")
+
+
 def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and share of used space by container size."""
     one = _packed(spark, sf_dir).groupBy("limit_name", "capacity", "container_id").agg(F.sum("size").alias("used"))
@@ -102,7 +108,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_normalized": p3_normalized,
-    "p5_found": p5_found, "p6_containers": p6_containers, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
+    "p5_found": p5_found, "p6_containers": p6_containers, "p6_pieces": p6_pieces, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 
 # The character classes of p3 spelt out, as RE2 has neither tables nor look-around.

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lexweave.llm.mixing import Mix, frame_states, plan_quotas, schedule
-from lexweave.llm.packing import best_fit, pack
+from lexweave.llm.packing import best_fit, pack, piece_texts
 
 
 def packed(spark, rows, limits, **k):
@@ -14,16 +14,24 @@ def packed(spark, rows, limits, **k):
     return pack(df, limits, item_id="d", size="s", **k).toPandas()
 
 
+def whole(out, rows):
+    """Every container within its capacity, every item there as often as it was given."""
+    per = out.groupby(["limit_name", "container_id"])
+    assert (per["size"].sum() <= per.capacity.first()).all() and (per["size"].sum() == per.container_fill.first()).all() and (per.container_fill.nunique() == 1).all()
+    want = sorted((str(i), max(s or 0, 0)) for i, s in rows)
+    for _, o in out.groupby("limit_name"):
+        assert o["size"].sum() == sum(s for _, s in want)
+        assert sorted(o[o.piece_no == 1].item_id.map(lambda x: "None" if x is None or x != x else x)) == sorted(i for i, _ in want)
+
+
 @pytest.mark.parametrize("group_items", [10_000, 40])
 def test_all_items_in_containers(spark, group_items):
     rng = random.Random(1)
     rows = [(i, int(rng.paretovariate(0.9) * 8)) for i in range(1500)] + [(-1, 100), (-2, 200), (-3, 1000), (-4, 99)]
-    out = packed(spark, rows, [("s", 100), ("l", 900)], group_items=group_items, fan=4)
+    out = packed(spark, rows, [("s", 100), ("l", 900)], group_items=group_items)
+    whole(out, rows)
     for name, cap in (("s", 100), ("l", 900)):
         o = out[out.limit_name == name]
-        assert (o.groupby("container_id")["size"].sum() <= cap).all() and (o.groupby("container_id")["size"].sum() == o.groupby("container_id").container_fill.first()).all()
-        whole = o.groupby(o.item_id.astype(int))["size"].sum().to_dict()
-        assert whole == dict(rows)
         n = o.groupby(o.item_id.astype(int)).size()
         assert all((n[i] == 1) == (s <= cap) and n[i] == -(-s // cap) for i, s in rows)
         for _, g in o[o.item_id.isin(o.item_id[o.piece_no > 1])].groupby("item_id"):
@@ -37,16 +45,57 @@ def test_same_result_in_any_order_and_tight_groups(spark):
     rows = [(i, 10 + i % 50) for i in range(300)]
     key = lambda o: sorted(map(tuple, o[["container_id", "item_id", "size"]].values.tolist()))
     assert key(packed(spark, rows, [("x", 100)], group_items=64)) == key(packed(spark, rows[::-1], [("x", 100)], group_items=64))
-    o = packed(spark, [(i, 60) for i in range(500)], [("x", 100)], group_items=50, fan=4)  # nothing can be merged
+    o = packed(spark, [(i, 60) for i in range(500)], [("x", 100)], group_items=50)  # nothing can be merged
     assert o.container_id.nunique() == 500
 
 
+def test_several_rounds_lose_no_place(spark):
+    """Thousands of containers stay open; what can still move finds a place in later rounds."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(51, 70)) for i in range(3000)] + [(10_000 + i, rng.randint(1, 20)) for i in range(300)]
+    one = packed(spark, rows, [("x", 100)], group_items=10**6)
+    for group_items in (500, 60, 20):
+        o = packed(spark, rows, [("x", 100)], group_items=group_items)
+        whole(o, rows)
+        assert o.container_id.nunique() == one.container_id.nunique() == 3000
+    small = [(i, 3 + i % 7) for i in range(4000)]
+    for group_items in (300, 25):
+        o = packed(spark, small, [("x", 100)], group_items=group_items)
+        whole(o, small)
+        assert (o.groupby("container_id").container_fill.first() <= 50).sum() <= 1
+        assert o.container_id.nunique() <= sum(s for _, s in small) / 100 * 1.06 + 1
+
+
+@pytest.mark.parametrize("group_items", [10_000, 30])
+def test_repeated_and_null_ids(spark, group_items):
+    rows = [(7, 10), (7, 10), (7, 9), (7, 25), (7, 25)] + [(None, 6)] * 200 + [(None, 33)] * 3 + [(1, 0)] * 50 + [(None, None)] * 20
+    o = packed(spark, rows, [("x", 8), ("y", 16)], group_items=group_items)
+    whole(o, rows)
+    assert (o[(o.limit_name == "x") & o.container_id.str.startswith("full")].groupby("container_id").size() == 1).all()
+
+
 def test_pack_edges(spark):
     assert len(packed(spark, [], [("x", 10)])) == 0
     o = packed(spark, [(1, None), (2, 0), (3, -5), (4, 10), (4, 10), (None, 3)], [("x", 10)])
-    assert len(o) == 6 and o["size"].sum() == 26 and o.container_id.nunique() == 3 and o.item_id.isna().sum() == 1
-    with pytest.raises(ValueError):
-        packed(spark, [], [])
+    assert len(o) == 6 and o["size"].sum() == 23 and o.container_id.nunique() == 3 and o.item_id.isna().sum() == 1
+    for bad in ([], [("x", 0)], [("x", 5), ("x", 6)]):
+        with pytest.raises(ValueError):
+            packed(spark, [], bad)
+
+
+@pytest.mark.parametrize("cap", [5, 8, 20, 1000])
+def test_pieces_give_the_text_back(spark, cap):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "é", "가", "👩", " "]) for _ in range(rng.randint(0, 120))) for _ in range(60)] + [None, "", "가" * 4000]
+    rows = [(i, t, len((t or "").encode()) + (i == 3) * 50) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "d bigint, text string, s int, cuts string")
+    out = pack(df, [("x", cap)], item_id="d", size="s", text="text")
+    whole(out.toPandas(), [(i, s) for i, _, s in rows])
+    got = piece_texts(df, out, item_id="d", text="text").toPandas()
+    assert set(got.item_id.astype(int)) == {i for i, _, s in rows if s > cap}
+    for i, g in got.groupby(got.item_id.astype(int)):
+        if cap >= 8 and i != 3:
+            assert "".join(g.sort_values("piece_no").piece) == texts[i] and (g["size"] == g.piece.map(lambda x: len(x.encode()))).all()
 
 
 def test_best_fit_against_brute_force():
