@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form one stream, pass after pass, cut into blocks of equal token size. Block j of a source of
-weight w is released at slot floor(j/w) and due at ceil((j+1)/w); the earliest deadline among the released blocks goes
-next, so no source is ever a whole block ahead of or behind its share. The driver runs over the slots (at most
-MAX_BLOCKS: beyond that the blocks grow) only to know the state at each frame's beginning; the frames are written out
-by tasks. Stream positions are two-level
-prefix sums over hash chunks, so a source with a third of all rows is spread over many tasks.
+Each source's documents form one stream, pass after pass, cut into blocks. The whole mix is a number of equal frames; in
+each a source has the same number of blocks, as many as it takes to keep them at ``block_tokens`` or less, so blocks never
+grow with the data. Block j of a source with k of the P blocks of a frame has weight w = k / P; it is released at slot
+floor(j/w) and due at ceil((j+1)/w), and the earliest deadline among the released blocks goes next. Every source is
+exactly at its share when a frame ends, so the schedule of one frame is that of all (its state at frame f is f * k), and
+inside no source is ever a whole block ahead or behind. Stream positions are two-level prefix sums over hash chunks, with
+equal rows counted first, so a source or a document with a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,17 +15,15 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK_TOKENS = 32_768
 FRAME = 4096
 CHUNK_ROWS = 20_000
+RUN = 10_000
 MAX_SOURCES = 10_000
-MAX_BLOCKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -60,52 +59,27 @@ def plan_quotas(wanted: list[tuple[str, float, int]], have: dict[str, tuple[int,
     return [SourcePlan(s, w, r, *have.get(s, (0, 0)), quota.get(s, 0)) for s, w, r in wanted]
 
 
-def _queues(slot: int, at: dict[str, int], blocks: dict[str, int], n: int) -> tuple[list, list]:
-    """The next block of each source by release, or by deadline if it is released."""
-    waiting, ready = [], []
-    for s, b in blocks.items():
-        if at[s] < b:
-            released = at[s] * n // b
-            if released <= slot:
-                ready.append((-(-(at[s] + 1) * n // b), -b, s))
-            else:
-                waiting.append((released, s))
-    heapq.heapify(waiting)
+def schedule(blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of one frame: earliest deadline first among released blocks."""
+    n = sum(blocks.values())
+    waiting = []  # by release
+    ready = [(-(-n // b), -b, s, 0) for s, b in blocks.items() if b > 0]  # by deadline
     heapq.heapify(ready)
-    return waiting, ready
-
+    for slot in range(n):
+        while waiting and waiting[0][0] <= slot:
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * n // blocks[s]), -blocks[s], s, j))
+        _, _, s, j = heapq.heappop(ready)
+        yield s, j, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * n // blocks[s], s, j + 1))
 
-def schedule(first: int, last: int, at: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """(source, block, slot) for the slots from ``first`` to ``last``: earliest deadline first among released blocks.
 
-    ``at`` holds the blocks of each source before ``first`` (and is moved on); together with the slot it is the whole
-    state, so a frame goes on exactly where the one before it ended.
-    """
-    n = sum(blocks.values())
-    waiting, ready = _queues(first, at, blocks, n)
-    for slot in range(first, last):
-        while waiting and waiting[0][0] <= slot:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(at[s] + 1) * n // blocks[s]), -blocks[s], s))
-        s = heapq.heappop(ready)[2]
-        yield s, at[s], slot
-        at[s] += 1
-        b = blocks[s]
-        if at[s] < b:
-            if at[s] * n // b <= slot + 1:
-                heapq.heappush(ready, (-(-(at[s] + 1) * n // b), -b, s))
-            else:
-                heapq.heappush(waiting, (at[s] * n // b, s))
-
-
-def frame_states(blocks: dict[str, int], length: int = FRAME) -> list[tuple[int, dict[str, int]]]:
-    """(first slot, blocks of each source before it) of every frame, by one pass over all slots."""
-    n, at, out = sum(blocks.values()), dict.fromkeys(blocks, 0), []
-    for first in range(0, n, length):
-        out.append((first, dict(at)))
-        for _ in schedule(first, min(first + length, n), at, blocks):
-            pass
-    return out
+def frames_of(quotas: dict[str, int], block_tokens: int, frame: int = FRAME) -> tuple[int, dict[str, int]]:
+    """Number of frames, and the blocks that each source has in every one of them (none above ``block_tokens``)."""
+    quotas = {s: q for s, q in quotas.items() if q > 0}
+    n = max(1, -(-sum(quotas.values()) // (frame * block_tokens)))
+    return n, {s: -(-q // (n * block_tokens)) for s, q in quotas.items()}
 
 
 class Mix:
@@ -125,65 +99,59 @@ class Mix:
         wanted = [(r["source"], float(r["w"]), int(r["r"])) for r in t.orderBy("source").limit(MAX_SOURCES + 1).collect()]
         if len(wanted) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
-        listed = [s for s, _, _ in wanted]
-        self.docs = docs.select(
+        names = self.spark.createDataFrame([(s,) for s, _, _ in wanted], "source string")
+        sized = docs.select(
             F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("n_tokens")
-        ).where(F.col("source").isin(listed))
+        )
+        self.docs = sized.join(F.broadcast(names), "source", "left_semi")  # at most MAX_SOURCES rows
         sums = self.docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # a row a listed source
         self.plan = plan_quotas(wanted, {r["source"]: (r["n"], r["k"]) for r in sums}, total)
-        self.block = max(block_tokens, -(-sum(p.quota for p in self.plan) // MAX_BLOCKS))
+        self.frames, self.blocks = frames_of({p.source: p.quota for p in self.plan}, block_tokens)
+        self.length = sum(self.blocks.values())
+
+    def _sources(self) -> DataFrame:
+        """A row for each source that gives something (at most MAX_SOURCES)."""
+        rows = [(p.source, p.max_repeats, p.available, p.quota, max(1, -(-p.rows // CHUNK_ROWS)), self.blocks[p.source]) for p in self.plan if p.quota > 0]
+        return self.spark.createDataFrame(rows, "source string, max_repeats int, available bigint, quota bigint, chunks int, blocks bigint")
 
     def _positions(self) -> DataFrame:
-        """source, doc_id, n_tokens and the document's position in one pass of its source."""
-        rows = self.spark.createDataFrame(
-            [(p.source, p.max_repeats, p.available, p.quota, max(1, -(-p.rows // CHUNK_ROWS))) for p in self.plan if p.quota > 0],
-            "source string, max_repeats int, available bigint, quota bigint, chunks int",
-        )
-        h = F.xxhash64("source", "doc_id", "n_tokens")
-        d = self.docs.join(F.broadcast(rows), "source").withColumn("h", h).withColumn("chunk", F.pmod("h", "chunks").cast("int"))
-        sums = d.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("s"))
+        """source, doc_id, n_tokens, copies and the first copy's position in one pass of its source."""
+        once = self.docs.groupBy("source", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+        runs = once.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+        runs = runs.withColumn("copies", F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN)).drop("n")
+        h = F.xxhash64("source", "doc_id", "n_tokens", F.when(F.col("run") > 0, F.col("run")))
+        d = runs.join(F.broadcast(self._sources()), "source").withColumn("h", h).withColumn("chunk", F.pmod("h", "chunks").cast("int"))
+        weight = F.col("n_tokens") * F.col("copies")
+        sums = d.groupBy("source", "chunk").agg(F.sum(weight).alias("s"))
         before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-        inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "n_tokens", "run").rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("inner", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         return d.join(offsets, ["source", "chunk"]).withColumn("position", F.col("offset") + F.col("inner"))
 
     def _used(self) -> DataFrame:
         """One row for each use of a document: up to the quota, to the nearest document."""
+        d = self._positions().withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+        d = d.withColumn("position", F.col("position") + F.col("copy") * F.col("n_tokens"))
         middle = F.col("position") + F.floor(F.col("n_tokens") / 2)
         uses = F.least("max_repeats", F.when(F.col("quota") > middle, F.floor((F.col("quota") - middle - 1) / F.greatest("available", F.lit(1))) + 1).otherwise(0)).cast("int")
-        d = self._positions().withColumn("uses", uses).where("uses > 0")
+        d = d.withColumn("uses", uses).where("uses > 0")
         return d.select(
-            "source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("repeat_no"), "position", "available"
+            "source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("repeat_no"), "position", "available", "quota", "blocks"
         ).withColumn("stream_start", (F.col("repeat_no") - 1) * F.col("available") + F.col("position"))
 
-    def blocks(self) -> dict[str, int]:
-        # a use may begin at most half a document beyond the quota: its block still exists
-        return {p.source: -(-p.quota // self.block) for p in self.plan if p.quota > 0}
-
     def slots(self) -> DataFrame:
-        """source, block_no, slot: the schedule, made frame by frame in tasks."""
-        blocks = self.blocks()
-        schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("block_no", T.LongType()), T.StructField("slot", T.LongType())])
-        if not blocks:
-            return self.spark.createDataFrame([], schema)
-        states, n = frame_states(blocks), sum(blocks.values())
-        names = sorted(blocks)
-        frames = self.spark.createDataFrame([(first, [at[s] for s in names]) for first, at in states], "first bigint, at array<bigint>").repartition(min(len(states), 1000))
-
-        def run(batches):
-            for b in batches:
-                for first, at in zip(b["first"].tolist(), b["at"]):
-                    rows = schedule(first, min(first + FRAME, n), dict(zip(names, map(int, at))), blocks)
-                    yield pd.DataFrame(rows, columns=["source", "block_no", "slot"])
-
-        return frames.mapInPandas(run, schema)
+        """source, place, slot: the schedule of one frame, of at most FRAME + MAX_SOURCES slots whatever the data."""
+        return self.spark.createDataFrame(list(schedule(self.blocks)), "source string, place bigint, slot bigint")
 
     def rows(self) -> DataFrame:
         """slot, source, doc_id, repeat_no, n_tokens, stream_start; the mix is read by slot, then stream_start."""
-        last = F.create_map(*[F.lit(x) for s, b in self.blocks().items() for x in (s, b - 1)]) if self.blocks() else F.lit(None).cast("map<string,int>")
-        used = self._used().withColumn("block_no", F.least(F.floor(F.col("stream_start") / self.block), last[F.col("source")].cast("bigint")))
-        return used.join(self.slots(), ["source", "block_no"]).select("slot", "source", "doc_id", "repeat_no", "n_tokens", "stream_start")
+        # a use may begin at most half a document beyond the quota: it belongs to the last block
+        all_blocks = F.col("blocks") * self.frames
+        block = F.least(F.floor(F.col("stream_start") * (all_blocks / F.col("quota"))), all_blocks - 1)
+        used = self._used().withColumn("block", block).withColumn("place", F.pmod("block", "blocks")).withColumn("frame", F.floor(F.col("block") / F.col("blocks")))
+        out = used.join(F.broadcast(self.slots()), ["source", "place"])
+        return out.select((F.col("frame") * self.length + F.col("slot")).alias("slot"), "source", "doc_id", "repeat_no", "n_tokens", "stream_start")
 
     def shares(self) -> DataFrame:
         """source, target_share, actual_share, n_tokens, n_documents, times_used (the largest) of every listed source."""

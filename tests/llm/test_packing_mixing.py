@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from lexweave.llm.mixing import Mix, frame_states, plan_quotas, schedule
+from lexweave.llm import mixing
+from lexweave.llm.mixing import Mix, frames_of, plan_quotas, schedule
 from lexweave.llm.packing import best_fit, pack, piece_texts
 
 
@@ -122,11 +123,10 @@ def test_quotas():
     assert [x.quota for x in plan_quotas([], {}, 5)] == [] and [x.quota for x in plan_quotas([("a", 0.0, 1)], have)] == [0]
 
 
-@pytest.mark.parametrize("blocks", [{"a": 5, "b": 3, "c": 1}, {"a": 700, "b": 250, "c": 49, "d": 1}, {"a": 1}, {f"s{i}": 1 + i * i for i in range(20)}])
-@pytest.mark.parametrize("frame", [7, 64, 4096])
-def test_no_source_is_a_block_off(blocks, frame):
+@pytest.mark.parametrize("blocks", [{"a": 5, "b": 3, "c": 1}, {"a": 700, "b": 250, "c": 49, "d": 1}, {"a": 1}, {f"s{i}": 1 + i * i for i in range(20)}, {f"s{i}": 1 for i in range(50)} | {"big": 30}])
+def test_no_source_is_a_block_off(blocks):
     n = sum(blocks.values())
-    slots = [x for first, at in frame_states(blocks, frame) for x in schedule(first, min(first + frame, n), at, blocks)]
+    slots = list(schedule(blocks))
     assert [x[2] for x in slots] == list(range(n)) and len({x[:2] for x in slots}) == n
     done = dict.fromkeys(blocks, 0)
     for s, b, slot in slots:
@@ -135,9 +135,20 @@ def test_no_source_is_a_block_off(blocks, frame):
         assert all(abs(done[x] - blocks[x] * (slot + 1) / n) < 1 for x in blocks)
 
 
-def test_mix_of_documents(spark):
+def test_blocks_never_grow():
+    for scale in (1, 1000, 10**9):
+        quotas = {"a": 70_001 * scale, "b": 9_999 * scale, "c": 1, "none": 0}
+        n, blocks = frames_of(quotas, 500, 64)
+        assert set(blocks) == {"a", "b", "c"} and all(quotas[s] / (n * b) <= 500 for s, b in blocks.items())
+        assert sum(blocks.values()) <= 64 + 3
+
+
+@pytest.mark.parametrize("frame", [4096, 30])
+def test_mix_of_documents(spark, frame, monkeypatch):
+    monkeypatch.setattr(mixing.frames_of, "__defaults__", (frame,))
+    monkeypatch.setattr(mixing, "RUN", 3)
     rng = random.Random(3)
-    docs = [(i, rng.choice(["big"] * 30 + ["mid"] * 15 + ["small", "unlisted", None]), rng.randint(0, 90)) for i in range(3000)] + [(9001, "mid", None), (9002, "mid", -4), (9003, "big", 5), (9003, "big", 5)]
+    docs = [(i, rng.choice(["big"] * 30 + ["mid"] * 15 + ["small", "unlisted", None]), rng.randint(0, 90)) for i in range(3000)] + [(9001, "mid", None), (9002, "mid", -4), (9003, "big", 5), (9003, "big", 5)] + [(None, "big", 7)] * 100
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id bigint, source string, n_tokens int, slot int, available int")
     t = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 3), ("gone", 0.1, 5), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     m = Mix(df, t, source="source", doc_id="doc_id", size="n_tokens", block_tokens=500)
@@ -149,7 +160,7 @@ def test_mix_of_documents(spark):
     caps = {"big": 1, "mid": 2, "small": 3}
     assert set(rows.source) == {"big", "mid", "small"} and quota["small"] == 3 * have["small"]
     for s, g in rows.groupby("source"):
-        assert g.groupby(["doc_id", "repeat_no"]).size().max() <= 2 and g.repeat_no.max() <= caps[s] and abs(g.n_tokens.sum() - quota[s]) <= 90
+        assert g[g.doc_id.notna()].groupby(["doc_id", "repeat_no"]).size().max() <= 2 and g.repeat_no.max() <= caps[s] and abs(g.n_tokens.sum() - quota[s]) <= 90
     total = rows.n_tokens.sum()
     ordered = rows.sort_values(["slot", "stream_start"])
     run = {s: (ordered.n_tokens * (ordered.source == s)).groupby(ordered.slot).sum().cumsum() for s in caps}
@@ -158,8 +169,10 @@ def test_mix_of_documents(spark):
         assert (run[s] - every * quota[s] / total).abs().max() < 2 * 500
     sh = {r.source: r for r in m.shares().collect()}
     assert abs(sum(r.actual_share for r in sh.values()) - 1) < 1e-9 and sh["gone"].n_tokens == 0 and sh["small"].times_used == 3
+    assert rows.slot.max() < m.frames * m.length and m.frames == (1 if frame > 1000 else m.frames) and (frame > 1000 or m.frames > 3)
     again = Mix(df.orderBy("n_tokens"), t, source="source", doc_id="doc_id", size="n_tokens", block_tokens=500).rows()
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, m.rows().collect()))
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+    assert sorted(map(key, again.collect())) == sorted(map(key, m.rows().collect()))
 
 
 def test_mix_edges(spark):
