@@ -148,9 +148,12 @@ def pack(
     if not limits or any(c < 1 for _, c in limits) or len({n for n, _ in limits}) < len(limits):
         raise ValueError("limits need at least one capacity of 1 or more and names of their own")
     whole = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
-    data = F.encode(F.col(text), "UTF-8") if text else None
+    # the bytes are a column of their own, so that they are made once a text, not once a cut
+    least = min(c for _, c in limits)
+    sized = df.select(F.col(item_id).cast("string").alias("item_id"), whole.alias("whole"), *([F.when(whole > least, F.col(text).cast("binary")).alias("data")] if text else []))
+    whole, data = F.col("whole"), F.col("data") if text else None
     cuts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(int(c)).cast("bigint").alias("c"), F.when(whole > c, _cuts(whole, int(c), data)).alias("cuts")) for n, c in limits])
-    base = df.select(F.col(item_id).cast("string").alias("item_id"), whole.alias("whole"), F.when(whole > min(c for _, c in limits), cuts).alias("cuts"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    base = sized.select("item_id", "whole", F.when(whole > least, cuts).alias("cuts"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     # equal rows are counted before they move, and numbered; a key repeated without bound lies in as many parts as there are salts
     counted = base.groupBy("item_id", "whole", "cuts", "salt").agg(F.count(F.lit(1)).alias("n"))
     one = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
@@ -182,7 +185,7 @@ def pack(
         else:
             is_open = F.col("fill") < nearly_full * F.col("capacity")
             done.append(packed.where(~is_open).drop("head"))
-            again = packed.where(is_open).drop("head").join(moved.withColumnRenamed("fill", "new_fill"), ["limit_name", "bin"], "left")
+            again = packed.where(is_open).drop("head").join(moved.withColumnRenamed("fill", "new_fill").hint("merge"), ["limit_name", "bin"], "left")
             done.append(again.withColumn("bin", F.coalesce("target", "bin")).withColumn("fill", F.coalesce("new_fill", "fill")).drop("target", "new_fill"))
     out = reduce(DataFrame.unionByName, done)
     return out.select("limit_name", F.col("bin").alias("container_id"), "item_id", "piece_no", "piece_start", "size", F.col("fill").alias("container_fill"), "capacity")
@@ -215,5 +218,5 @@ def piece_texts(df: DataFrame, packed: DataFrame, *, item_id: str, text: str) ->
     Only the texts of split items move. A character that a cut by token numbers alone divides comes out as U+FFFD. Rows that repeat an id with another text give pieces of each of the texts.
     """
     split = packed.join(packed.where("piece_no > 1").select("item_id").distinct(), "item_id", "left_semi")
-    texts = df.select(F.col(item_id).cast("string").alias("item_id"), F.encode(F.col(text), "UTF-8").alias("_b")).join(split.select("item_id").distinct(), "item_id", "left_semi").distinct()
+    texts = df.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("binary").alias("_b")).join(split.select("item_id").distinct(), "item_id", "left_semi").distinct()
     return split.join(texts, "item_id").withColumn("piece", F.make_valid_utf8(F.substring("_b", (F.col("piece_start") + 1).cast("int"), F.col("size").cast("int")).cast("string"))).drop("_b")
