@@ -1,23 +1,27 @@
 """Deduplicating new batches against all history: a persisted inverted file of vector cells with full vectors.
 
-A record has one vector for each identity it may be known by: court with case number (digits of the serial in any
-order, each number of a joined case), court with date, and provider with record id. A record without court has number
-and date alone, and meets them in records with court too. The identity gives three coordinates (a point in a cube whose side follows the record count, so unrelated identities lie
-apart), the text a unit vector of signed 8-gram counts. Equal identities thus differ by their texts only, and the
-space has few dimensions in which cells and distance bounds prune well.
-
-Cells are the regions of centroids fitted on a bounded sample; rows are stored by cell and ring (distance from the
-centroid) below the shared folder, and new rows are appended. A query probes every cell c with
-d(q, c) - radius(c) <= tau, and there the rings within tau of d(q, c): by the triangle inequality nothing nearer can lie
-elsewhere. What is left is tested by full vectors and then reranked exactly on whole texts.
+The vector of a record has 32 text places (the least hash of its 8-grams under 32 orders, so two records agree in a place
+as often as their sets of 8-grams overlap) and its identities (court with case number, court with day, provider with
+record id, and the number alone between records with and without court). Its distance is the number of places that
+differ. The vector is cut into cells: 8 text cells of four places, one cell for each identity; court with day is joined
+with one text place at a time, as a court decides many cases a day. Cells are stored as an inverted file with the full
+vector beside each entry, below a named shared folder; new records are appended.
+
+A query probes its own cells. The bound: a stored vector that shares no cell differs in a place of each of the 8 text
+cells, so it is at a distance of 8 or more in the text and in every identity. So every record within a distance of 7 is
+met, and what lies farther is met with a probability that grows with its nearness (README). There are as many cells as
+there are distinct values, so their size doesn't follow the size of the history, and nothing is fitted.
+What is met is tested by its full vector and reranked exactly on whole texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +30,12 @@ from .charforms import code_points, normalize_array, normalized, slices
 from .splitting import _last
 
 GRAM = 8
-TEXT_DIMS = 24
-TAU = 1.2  # unit text vectors: a cosine of 0.28
-RING = TAU / 2
-MAX_CENTROIDS = 4096
-SAMPLE_ROWS = 20_000
+PLACES, BAND = 32, 4
+DAY_PLACES = 4
+NEAR = 4  # places that a candidate must share: a tenth of the 8-grams of both
+PARTS = 16  # folders of the stored tables, by hash
 _U = np.uint64
+_ORDERS = np.random.default_rng(8).integers(1, 2**31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 # --- fields, as they are written in fact -------------------------------------------------------------------------
@@ -68,19 +72,24 @@ def _any_order(number: Column) -> Column:
     return F.concat(F.regexp_extract(number, r"^(\d+[가-힣]+)", 1), F.array_join(F.array_sort(F.split(serial, "")), ""))
 
 
+def _hash(kind: str, *parts: Column) -> Column:
+    """Null if a part is."""
+    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.xxhash64(F.lit(kind), *parts))
+
+
 def with_identities(df: DataFrame) -> DataFrame:
-    """Adds _court, _numbers, _views (hashes of the identities of a record) and _loose (those it would have without its court)."""
+    """Adds _court, _numbers, _day and _record (provider with the digits of the record id) as they are in fact."""
     names = ("court", "case_number", "provider_record_id")
     d = df.withColumns({c: normalized(F.col(c).cast("string")) for c in names})
-    d = d.withColumn("_court", canonical_court(F.col("court"))).withColumn("_numbers", case_numbers(F.col("case_number")))
     rid = F.regexp_extract(_plain(F.col("provider_record_id")), r"(\d{3,})", 1)
-    day = F.col("decision_date").cast("string")
-    by_number = lambda *court: F.transform("_numbers", lambda n: F.xxhash64(F.lit("n"), *court, _any_order(n)))
-    by_date = lambda *court: F.when(day.isNotNull(), F.array(F.xxhash64(F.lit("d"), *court, day)))
-    by_record = F.when((F.col("provider") != "") & (rid != ""), F.array(F.xxhash64(F.lit("r"), F.col("provider"), rid)))
-    none, court = F.array().cast("array<bigint>"), F.col("_court")  # a null court leaves the hash as it is without
-    d = d.withColumn("_views", F.array_distinct(F.concat(by_number(court), F.coalesce(by_date(court), none), F.coalesce(by_record, none))))
-    return d.withColumn("_loose", F.when(court.isNotNull(), F.array_distinct(F.concat(by_number(), F.coalesce(by_date(), none)))).otherwise(none))
+    return d.withColumns(
+        {
+            "_court": canonical_court(F.col("court")),
+            "_numbers": case_numbers(F.col("case_number")),
+            "_day": F.col("decision_date").cast("string"),
+            "_record": F.when((F.col("provider") != "") & (rid != ""), F.concat_ws("\x1f", "provider", rid)),
+        }
+    )
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
@@ -152,147 +161,55 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[whole], row[whole], digest
 
 
-def text_vectors(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    dim = (h % _U(TEXT_DIMS)).astype(np.int64)
-    sign = np.where((h >> _U(40)) & _U(1), 1.0, -1.0)
-    v = np.bincount(row * TEXT_DIMS + dim, weights=sign, minlength=rows * TEXT_DIMS).reshape(rows, TEXT_DIMS)
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return (v / np.where(norm > 0, norm, 1)).astype(np.float32)
-
-
-def identity_points(view: np.ndarray, side: float) -> np.ndarray:
-    """Three coordinates in a cube, by the hash of the identity."""
-    with np.errstate(over="ignore"):
-        parts = [_mix(view.view(np.uint64) + _U(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> _U(11) for i in (1, 2, 3)]
-    return (np.stack(parts, 1).astype(np.float64) / 2.0**53 * side).astype(np.float32)
+def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 32 text places of each row (without a gram: all 0), and which rows have grams."""
+    out = np.zeros((rows, PLACES), np.uint32)
+    start = np.searchsorted(row, np.arange(rows))
+    has = np.diff(np.append(start, len(row))) > 0
+    if has.any():
+        low = (h >> _U(32)).astype(np.uint32) ^ h.astype(np.uint32)
+        at = start[has]
+        with np.errstate(over="ignore"):
+            for k in range(PLACES):
+                x = low * _ORDERS[k]
+                x ^= x >> np.uint32(15)
+                out[has, k] = np.minimum.reduceat(x * np.uint32(0x2C1B3C6D), at)
+    return out, has
 
 
-@dataclass
-class Cells:
-    """What is fitted once: side of the cube and centroids (at most MAX_CENTROIDS, from at most SAMPLE_ROWS rows)."""
+_TEXT = "digest bigint, n_grams int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>, days array<int>"
 
-    side: float
-    centroids: np.ndarray
 
-    def distances(self, v: np.ndarray) -> np.ndarray:
-        c = self.centroids
-        d = (v * v).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (v.astype(np.float64) @ c.T.astype(np.float64))
-        return np.sqrt(np.maximum(d, 0))
-
-
-def fit_cells(views: np.ndarray, records: int, rounds: int = 4) -> Cells:
-    """Lloyd's rounds over identities of the sample; centroids lie at text coordinate 0, the middle of all texts."""
-    side = float(TAU * (84.0 * max(records, 64)) ** (1 / 3))
-    points = identity_points(np.unique(views), side) if len(views) else np.zeros((1, 3), np.float32)
-    k = int(min(MAX_CENTROIDS, len(points), max(8, 2 * np.sqrt(records))))
-    c = points[np.linspace(0, len(points) - 1, k).astype(int)].astype(np.float64)
-    for _ in range(rounds):
-        near = np.concatenate([(((c * c).sum(1)[None] - 2 * p.astype(np.float64) @ c.T)).argmin(1) for p in np.array_split(points, max(1, len(points) // 4096))])
-        n = np.bincount(near, minlength=k)
-        for d in range(3):
-            c[:, d] = np.where(n > 0, np.bincount(near, weights=points[:, d], minlength=k) / np.maximum(n, 1), c[:, d])
-    return Cells(side, np.concatenate([c, np.zeros((k, TEXT_DIMS))], 1).astype(np.float32))
-
-
-def _texts(batches):
-    """Digest and text vector of each row."""
+def _vectors(batches):
+    """Of each text: a digest, its number of 8-grams, the places at 8 bits each (four words), its text cells, the places for days."""
     for b in (part for whole in batches for part in slices(whole, "text")):
         h, row, digest = grams(b.column("text"))
-        v = text_vectors(h, row, len(b))
-        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) + 1) * TEXT_DIMS, pa.int32()), pa.array(v.ravel()))
-        cols = [b.column("id"), b.column("batch_no"), b.column("court"), b.column("numbers"), b.column("views"), b.column("loose"), pa.array(digest.view(np.int64)), vec]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "batch_no", "court", "numbers", "views", "loose", "digest", "vec"])
-
-
-_KEPT = ["id", "batch_no", "court", "numbers"]
-_STORED = "id string, batch_no int, court string, numbers array<string>, kx float, ky float, kz float, vec array<float>, cell int, ring int, dist float"
-
-
-def _place(cells: Cells, radius: np.ndarray | None):
-    """Stored rows (radius None): the nearest cell of each vector. Queries: a row for each cell and ring to probe."""
-
-    def run(batches):
-        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
-            view = b.column("view").to_numpy(zero_copy_only=False)
-            key = identity_points(view, cells.side)
-            text = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(b), TEXT_DIMS)
-            d = cells.distances(np.concatenate([key, text], 1))
-            if radius is None:
-                at, cell = np.arange(len(b)), d.argmin(1)
-                dist = d[at, cell]
-                ring = np.floor(dist / RING)
-            else:
-                at, cell = np.nonzero(d - radius[None] <= TAU + 1e-3)
-                dist = d[at, cell]
-                lo, hi = np.floor(np.maximum(dist - TAU - 1e-3, 0) / RING), np.floor((dist + TAU + 1e-3) / RING)
-                hi = np.minimum(hi, np.floor((radius[cell] + 1e-3) / RING))
-                n = np.maximum(hi - lo + 1, 0).astype(np.int64)
-                ring = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at, cell, dist = np.repeat(at, n), np.repeat(cell, n), np.repeat(dist, n)
-            take = pa.array(at)
-            cols = [b.column(c).take(take) for c in _KEPT] + [pa.array(key[at, i]) for i in range(3)]
-            cols += [b.column("vec").take(take), pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(dist.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*_KEPT, "kx", "ky", "kz", "vec", "cell", "ring", "dist"])
-
-    return run
-
-
-class HistoryIndex:
-    """The persisted cells of everything accepted.
-
-    ``records`` tables have id, batch_no, provider, provider_record_id, court, case_number, decision_date, source_text.
-    Defined cases: null or '' fields give no identity of their own (a record without any matches nothing); null and
-    empty texts match nothing; rows equal in court, number and text are one stored row and come back as members of
-    its group; ids are unique; an empty history or batch gives no pairs; other columns are not read.
-    """
-
-    def __init__(self, spark: SparkSession, cells: Cells, path: str):
-        self.spark, self.cells, self.path = spark, cells, path
-
-    @staticmethod
-    def encode(records: DataFrame) -> DataFrame:
-        d = with_identities(records).select(
-            "id", F.col("batch_no").cast("int").alias("batch_no"), F.col("_court").alias("court"), F.col("_numbers").alias("numbers"), F.col("_views").alias("views"), F.col("_loose").alias("loose"),
-            F.coalesce("source_text", F.lit("")).alias("text"),
-        )
-        return d.mapInArrow(_texts, "id string, batch_no int, court string, numbers array<string>, views array<bigint>, loose array<bigint>, digest bigint, vec array<float>")
-
-    @classmethod
-    def build(cls, spark: SparkSession, encoded: DataFrame) -> HistoryIndex:
-        """Cells fitted on a bounded sample (SAMPLE_ROWS rows by hash of id), then all of ``encoded`` stored."""
-        n = encoded.count()
-        sample = encoded.select("views", "id").orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select(F.explode("views").alias("v")).collect()
-        self = cls(spark, fit_cells(np.array([r["v"] for r in sample], np.int64), n), stage_path(spark, "cells"))
-        self.append(encoded)
-        return self
-
-    def append(self, encoded: DataFrame) -> None:
-        placed = encoded.withColumn("view", F.explode("views")).mapInArrow(_place(self.cells, None), _STORED)
-        placed.write.mode("append").parquet(self.path)
-
-    def stored(self) -> DataFrame:
-        return self.spark.read.schema(_STORED).parquet(self.path)
-
-    def radius(self) -> np.ndarray:
-        out = np.full(len(self.cells.centroids), -1e9)
-        for r in self.stored().groupBy("cell").agg(F.max("dist").alias("r")).collect():  # at most MAX_CENTROIDS rows
-            out[r["cell"]] = r["r"]
-        return out
-
-    def candidates(self, encoded: DataFrame) -> DataFrame:
-        """(a, b) with vectors within tau, b from ``encoded``, a stored, of an earlier batch or the same one."""
-        q = encoded.withColumn("view", F.explode("views")).mapInArrow(_place(self.cells, self.radius()), _STORED)
-        q = q.select(*[F.col(c).alias(f"q_{c}") for c in (*_KEPT, "kx", "ky", "kz", "vec")], "cell", "ring")
-        d2 = sum(((F.col(k) - F.col(f"q_{k}")) * (F.col(k) - F.col(f"q_{k}")) for k in ("kx", "ky", "kz")), F.lit(0.0))
-        pairs = self.stored().join(q, ["cell", "ring"]).where(
-            (d2 <= TAU * TAU) & ((F.col("batch_no") < F.col("q_batch_no")) | ((F.col("batch_no") == F.col("q_batch_no")) & (F.col("id") < F.col("q_id"))))
-        )
-        text2 = F.aggregate(F.zip_with("vec", "q_vec", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        near = pairs.where(d2 + text2 <= TAU * TAU)
-        return near.select(
-            F.col("id").alias("a"), F.col("q_id").alias("b"), F.col("court").alias("court_a"), F.col("q_court").alias("court_b"),
-            F.col("numbers").alias("numbers_a"), F.col("q_numbers").alias("numbers_b"),
-        ).dropDuplicates(["a", "b"])
+        n = len(b)
+        places, has = signatures(h, row, n)
+        mixed = _mix(places.astype(np.uint64))
+        low = (mixed & _U(0xFF)).reshape(n, 4, 8)
+        words = (low << (_U(8) * np.arange(8, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+        bands = np.zeros((n, PLACES // BAND), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(BAND):
+                bands = _mix(bands * _U(0x9E3779B97F4A7C15) + mixed[:, i::BAND] + np.arange(PLACES // BAND, dtype=np.uint64)[None])
+        lists = lambda x, width, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * width)]), pa.int32()), pa.array(x[has].ravel(), kind))
+        count = np.bincount(row, minlength=n)
+        cols = [b.column(c) for c in b.schema.names] + [pa.array(digest.view(np.int64)), pa.array(count, pa.int32()), *(pa.array(words[:, i]) for i in range(4))]
+        cols += [lists(bands.view(np.int64), PLACES // BAND, pa.int64()), lists(places[:, :DAY_PLACES].view(np.int32), DAY_PLACES, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *(f.split()[0] for f in _TEXT.split(", "))])
+
+
+def shared_places(*words: tuple[Column, Column]) -> Column:
+    """How many bytes of the paired words agree."""
+
+    def one(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return reduce(lambda x, y: x + y, [one(a, b) for a, b in words])
 
 
 def _overlaps(batches):
@@ -312,33 +229,144 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "same", "swapped", "beside", "share", "only_a", "only_b"])
 
 
-def rerank(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) that record the same decision, judged on whole texts.
+_WORDS = ["s0", "s1", "s2", "s3"]
+_ENTRY = ["id", "batch_no", "court", *_WORDS]
+_CELLS = "cell bigint, id string, batch_no int, court bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, append string, block int"
+_FIELDS = "id string, batch_no int, court string, numbers array<string>, day string, record string, text string"
+_RECORDS = f"{_FIELDS}, {_TEXT}, append string, part int"
+
+
+def _folder(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
 
-    The courts must agree where both are known. With a case number in common the shorter text must be in the other
-    for the greater part (0.6 of its 8-grams), with the digits of the serial in another order nearly whole (0.8), with
-    any other number whole but for slips (0.9); neighbouring serials are parallel cases unless both texts are equal.
+def _cells_of(d: DataFrame, stored: bool) -> DataFrame:
+    """An entry for each cell of each record: those it is stored in, or those it probes.
+
+    The two differ only where a record has no court: its number alone meets records with a court and without.
     """
-    same = F.arrays_overlap("numbers_a", "numbers_b")
-    digits = lambda c: F.transform(c, _any_order)
-    serial = lambda x: F.regexp_extract(x, r"(\d+)$", 1).cast("double")
-    kind = lambda x: F.regexp_extract(x, r"^(\d+[가-힣]+)", 1)
-    beside = F.exists("numbers_a", lambda x: F.exists("numbers_b", lambda y: (kind(x) == kind(y)) & (F.abs(serial(x) - serial(y)) == 1)))
-    c = candidates.where(F.col("court_a").isNull() | F.col("court_b").isNull() | (F.col("court_a") == F.col("court_b"))).select(
-        "a", "b", same.alias("same"), F.arrays_overlap(digits("numbers_a"), digits("numbers_b")).alias("swapped"), (beside & ~same).alias("beside")
-    )
-    c = durable(c)
-    ids = c.select(F.col("a").alias("id")).union(c.select("b")).distinct()
-    needed = durable(texts.select("id", F.col("source_text").alias("t")).join(ids, "id", "left_semi"))
-    both = c.join(needed.select(F.col("id").alias("a"), F.coalesce("t", F.lit("")).alias("text_a")), "a").join(
-        needed.select(F.col("id").alias("b"), F.coalesce("t", F.lit("")).alias("text_b")), "b"
-    )
-    got = both.select("a", "b", "same", "swapped", "beside", "text_a", "text_b").mapInArrow(
-        _overlaps, "a string, b string, same boolean, swapped boolean, beside boolean, share double, only_a int, only_b int"
-    )
-    slips = F.least("only_a", "only_b") <= 2 * GRAM  # one text has nothing of its own but a slip
-    ok = F.when(F.col("beside"), (F.col("share") >= 0.9) & (F.greatest("only_a", "only_b") <= GRAM)).when(F.col("same"), F.col("share") >= 0.6)
-    return got.where(ok.when(F.col("swapped"), F.col("share") >= 0.8).otherwise((F.col("share") >= 0.9) & slips)).select("a", "b")
+    court, none = F.col("court"), F.array().cast("array<bigint>")
+    by_number = F.transform("numbers", lambda n: _hash("n", court, _any_order(n)))
+    alone = lambda kind: F.transform("numbers", lambda n: F.xxhash64(F.lit(kind), _any_order(n)))
+    if stored:
+        loose = F.when(court.isNull(), alone("without")).otherwise(alone("with"))
+    else:
+        loose = F.when(court.isNull(), F.concat(alone("without"), alone("with"))).otherwise(alone("without"))
+    by_day = F.transform("days", lambda x, i: _hash("d", court, F.col("day"), i, x))
+    text = F.transform("bands", lambda x: F.xxhash64(F.lit("t"), x))
+    record = F.array(_hash("r", F.col("record")))
+    cells = F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in (by_number, loose, by_day, text, record)])))
+    return d.where("n_grams > 0").select(F.explode(cells).alias("cell"), "id", "batch_no", F.xxhash64(F.lit("c"), court).alias("court_hash"), court.isNull().alias("no_court"), *_WORDS).select(
+        "cell", "id", "batch_no", F.when(~F.col("no_court"), F.col("court_hash")).alias("court"), *_WORDS
+    )
+
+
+class HistoryIndex:
+    """The persisted index of everything accepted, below ``path`` (a folder all executors share).
+
+    ``records``: fields and texts as compared, in PARTS folders by hash of id. ``cells``: the inverted file, in PARTS
+    folders by hash of cell. ``done``: the appends that are whole; what a lost run has left is not read. A later session
+    goes on with ``HistoryIndex(spark, path)``; ``match`` reads the folders of cells that its batch probes and the folders of
+    records that it has met there, never the tables the history came from.
+
+    Record tables have id, batch_no, provider, provider_record_id, court, case_number, decision_date, source_text.
+    Defined cases: null or '' fields give no identity (such records are met by their text); null and empty texts, and
+    texts without letters or digits, match nothing; of exact copies (court and text) one stands in the text cells for
+    all, each is known by its own identities, and all come back as members of its class; ids are unique, rows with null
+    id are left out; an empty history or batch gives no pairs; other columns are not read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def appends(self) -> list[str]:
+        """The names of all whole appends, one for each batch that was stored."""
+        try:
+            return [r["append"] for r in self.spark.read.schema("append string").parquet(f"{self.path}/done").collect()]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return []
+
+    def _read(self, name: str, appends: list[str]) -> DataFrame:
+        schema = _RECORDS if name == "records" else _CELLS
+        if not appends:
+            return self.spark.createDataFrame([], schema)
+        at = f"{self.path}/{name}"
+        return self.spark.read.schema(schema).option("basePath", at).parquet(*[f"{at}/append={a}" for a in appends])
+
+    def append(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stores a batch; returns its records as stored, and its exact copies (a, b): b is the same as a, which came earlier."""
+        d = with_identities(records.where(F.col("id").isNotNull())).select(
+            "id", F.col("batch_no").cast("int").alias("batch_no"), F.col("_court").alias("court"), F.col("_numbers").alias("numbers"),
+            F.col("_day").alias("day"), F.col("_record").alias("record"), F.coalesce("source_text", F.lit("")).alias("text"),
+        )
+        old, name = self.appends(), uuid.uuid4().hex
+        d.mapInArrow(_vectors, f"{_FIELDS}, {_TEXT}").withColumn("part", _folder("id")).write.partitionBy("part").parquet(f"{self.path}/records/append={name}")
+        fresh = self._read("records", [name])
+        # of equal courts and texts the first stands for all; they are counted before rows move
+        keys = ["court", "digest", "batch_no", "id"]
+        both = self._read("records", old).select(*keys, F.lit(0).alias("new")).unionByName(fresh.select(*keys, F.lit(1).alias("new"))).where("digest != 0")
+        first = both.groupBy("court", "digest").agg(F.min_by("id", F.struct("new", "batch_no", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        mine = fresh.select("id", F.col("court").alias("c"), F.col("digest").alias("d"))
+        copies = mine.join(first, (F.col("d") == F.col("digest")) & F.col("c").eqNullSafe(F.col("court"))).where(F.col("id") != F.col("first"))
+        copies = durable(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+        self._entries(fresh, copies, True).withColumn("block", _folder("cell")).write.partitionBy("block").parquet(f"{self.path}/cells/append={name}")
+        self.spark.createDataFrame([(name,)], "append string").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+        return fresh, copies
+
+    def _entries(self, records: DataFrame, copies: DataFrame, stored: bool) -> DataFrame:
+        """Entries of records; copies of one record have one entry a cell between them."""
+        all_of = _cells_of(records, stored)
+        own = all_of.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
+        of_copies = all_of.join(copies.select(F.col("b").alias("id"), "a"), "id")
+        one = of_copies.groupBy("cell", "a").agg(F.min_by(F.struct(*_ENTRY), F.struct("batch_no", "id")).alias("e"))
+        return own.select("cell", *_ENTRY).unionByName(one.select("cell", "e.*"))
+
+    def candidates(self, batch: DataFrame, copies: DataFrame) -> DataFrame:
+        """(a, b) that share a cell and NEAR text places; b of ``batch`` (stored records), a of an earlier batch or the same one."""
+        probes = self._entries(batch, copies, False)
+        probes = durable(probes.select("cell", *[F.col(c).alias(f"q_{c}") for c in _ENTRY]))
+        blocks = [r["block"] for r in probes.select(_folder("cell").alias("block")).distinct().collect()]  # at most PARTS
+        met = self._read("cells", self.appends()).where(F.col("block").isin(blocks)).join(probes, "cell").where(
+            ((F.col("batch_no") < F.col("q_batch_no")) | ((F.col("batch_no") == F.col("q_batch_no")) & (F.col("id") < F.col("q_id"))))
+            & (F.col("court").isNull() | F.col("q_court").isNull() | (F.col("court") == F.col("q_court")))
+            & (shared_places(*[(F.col(w), F.col(f"q_{w}")) for w in _WORDS]) >= NEAR)
+        )
+        return met.select(F.col("id").alias("a"), F.col("q_id").alias("b")).distinct()
+
+    def rerank(self, candidates: DataFrame) -> DataFrame:
+        """(a, b) that record the same decision, judged on whole texts.
+
+        The courts agree where both are known. With a case number in common the shorter text must be in the other for
+        the greater part (0.6 of its 8-grams), with the digits of the serial in another order nearly whole (0.8), with
+        any other number whole but for slips (0.9); neighbouring serials are parallel cases unless both texts are equal.
+        """
+        c = durable(candidates)
+        ids = c.select(F.col("a").alias("id")).union(c.select("b")).distinct().withColumn("part", _folder("id"))
+        parts = [r["part"] for r in ids.select("part").distinct().collect()]  # at most PARTS
+        needed = durable(self._read("records", self.appends()).where(F.col("part").isin(parts)).select("id", "numbers", "text").join(ids.select("id"), "id", "left_semi"))
+        side = lambda x: needed.select(F.col("id").alias(x), F.col("numbers").alias(f"numbers_{x}"), F.col("text").alias(f"text_{x}"))
+        same = F.arrays_overlap("numbers_a", "numbers_b")
+        digits = lambda c: F.transform(c, _any_order)
+        serial = lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("double")
+        kind = lambda x: F.regexp_extract(x, r"^(\d+[가-힣]+)", 1)
+        beside = F.exists("numbers_a", lambda x: F.exists("numbers_b", lambda y: (kind(x) == kind(y)) & (F.abs(serial(x) - serial(y)) == 1)))
+        both = c.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", same.alias("same"), F.arrays_overlap(digits("numbers_a"), digits("numbers_b")).alias("swapped"), (beside & ~same).alias("beside"), "text_a", "text_b"
+        )
+        got = both.mapInArrow(_overlaps, "a string, b string, same boolean, swapped boolean, beside boolean, share double, only_a int, only_b int")
+        slips = F.least("only_a", "only_b") <= 2 * GRAM  # one text has nothing of its own but a slip
+        ok = F.when(F.col("beside"), (F.col("share") >= 0.9) & (F.greatest("only_a", "only_b") <= GRAM)).when(F.col("same"), F.col("share") >= 0.6)
+        return got.where(ok.when(F.col("swapped"), F.col("share") >= 0.8).otherwise((F.col("share") >= 0.9) & slips)).select("a", "b")
+
+    def match(self, batch: DataFrame) -> DataFrame:
+        """Appends ``batch`` and returns (a, b): b of the batch repeats a, which was accepted before or comes in the same batch.
+
+        Exact copies are linked to the first of them only; ``groups`` closes the chains.
+        """
+        fresh, copies = self.append(batch)
+        return durable(self.rerank(self.candidates(fresh, copies)).union(copies).distinct())
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -359,42 +387,24 @@ def groups(edges: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
-def with_courtless(rows: DataFrame) -> DataFrame:
-    """Adds to ``views`` of rows with a court the identities that rows without one have."""
-    asked = rows.where(F.col("court").isNull()).select(F.explode("views").alias("v")).distinct()
-    if asked.isEmpty():
-        return rows
-    met = rows.select("id", F.explode("loose").alias("v")).join(asked, "v", "left_semi").groupBy("id").agg(F.collect_set("v").alias("_met"))
-    met = rows.join(met, "id", "left").withColumn("views", F.array_distinct(F.concat("views", F.coalesce("_met", F.array().cast("array<bigint>")))))
-    return durable(met.drop("_met"))
-
-
-def repeated_decisions(records: DataFrame) -> DataFrame:
+def repeated_decisions(records: DataFrame, path: str | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records of the same decision, of which at least one is in a batch > 0.
 
-    Batch 0 becomes the index, the later batches are matched against it and one another in order of arrival, and are
-    appended. Exact copies (court, numbers, digest of the text) meet as one row; the pairs of a group are written out
-    only at the end.
+    Batch 0 becomes the index (at ``path``, by default a fresh folder in the shared one); the later batches are appended
+    and matched against it and one another in order of arrival. Classes come from ``classes``, which is the smaller result;
+    the pairs of a class are written out only here.
     """
-    spark = records.sparkSession
-    slim = records.select("id", "batch_no", "provider", "provider_record_id", "court", "case_number", "decision_date", "source_text").where(F.col("id").isNotNull())
-    encoded = durable(HistoryIndex.encode(slim))
-    twins = encoded.groupBy("court", "numbers", "digest").agg(F.min_by("id", F.struct("batch_no", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    some = (F.size("numbers") > 0) & F.col("court").isNotNull() & (F.col("digest") != 0)
-    copies = encoded.join(twins.where((F.col("n") > 1) & some), ["court", "numbers", "digest"]).where(F.col("id") != F.col("first"))
-    copies = durable(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), "batch_no", "views", "loose"))
-    # the row that stays is known by the identities of all its copies, so that what shares one with any of them meets it
-    both = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    of_copies = copies.groupBy(F.col("a").alias("id")).agg(both("views").alias("_views"), both("loose").alias("_loose"))
-    rows = encoded.join(copies.select(F.col("b").alias("id")), "id", "left_anti").join(of_copies, "id", "left")
-    union = lambda c: F.array_distinct(F.concat(c, F.coalesce(f"_{c}", F.array().cast("array<bigint>"))))
-    rows = rows.withColumns({c: union(c) for c in ("views", "loose")}).drop("_views", "_loose")
-    rows = with_courtless(rows)
-    index = HistoryIndex.build(spark, rows.where(F.col("batch_no") == 0))
-    fresh = rows.where(F.col("batch_no") > 0)
-    index.append(fresh)
-    edges = rerank(index.candidates(fresh), slim).union(copies.where(F.col("batch_no") > 0).select("a", "b"))
-    g = groups(durable(edges)).join(slim.select("id", "batch_no"), "id")
+    g = classes(records, path)
     left = g.select("group", F.col("id").alias("id_a"), F.col("batch_no").alias("n_a"))
     right = g.select("group", F.col("id").alias("id_b"), F.col("batch_no").alias("n_b"))
     return left.join(right, "group").where((F.col("id_a") < F.col("id_b")) & ((F.col("n_a") > 0) | (F.col("n_b") > 0))).select("id_a", "id_b")
+
+
+def classes(records: DataFrame, path: str | None = None) -> DataFrame:
+    """id, batch_no, group (the least id of the class) of every record that repeats another or is repeated."""
+    spark = records.sparkSession
+    slim = records.select("id", "batch_no", "provider", "provider_record_id", "court", "case_number", "decision_date", "source_text")
+    index = HistoryIndex(spark, path or stage_path(spark, "history"))
+    index.append(slim.where(F.col("batch_no") == 0))
+    edges = index.match(slim.where(F.col("batch_no") > 0))
+    return groups(edges).join(slim.select("id", "batch_no"), "id")

@@ -1,10 +1,11 @@
-"""Repeated decisions against all-pairs brute force; bounds of the cells; identities, groups and edge cases."""
+"""Repeated decisions against all-pairs brute force; the bound of the cells; the persisted index; identities, classes and edge cases."""
 
 import datetime as dt
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.llm import history as H
@@ -14,6 +15,11 @@ DAY = dt.date(2020, 1, 2)
 WORDS = ["피고인", "피해자", "메시지를", "보냈다", "계정", "원심은", "판단하였다", "기록에", "따르면", "주장은", "이유", "없다", "휴대전화", "증거", "접속", "회신"]
 
 
+@pytest.fixture(autouse=True)
+def few_folders(monkeypatch):
+    monkeypatch.setattr(H, "PARTS", 2)
+
+
 def text(rng, n=60):
     return " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(n))
 
@@ -34,7 +40,7 @@ def test_fields_as_they_are_in_fact(spark):
     got = H.with_identities(d).collect()
     assert {r._court for r in got[:4]} == {"다래지방법원물길지원"} and all(r._numbers[0] == "2018고단658" for r in got[:4])
     assert got[3]._numbers == ["2018고단658", "2018고단700"] and got[4]._court is None and got[4]._numbers == []
-    assert len({r._views[0] for r in got[:4]}) == 1 and len(got[4]._views) == 2
+    assert {r._record for r in got} == {"p\x1f7123"} and {r._day for r in got} == {"2020-01-02"}
 
 
 def test_pairs_equal_brute_force(spark):
@@ -67,28 +73,77 @@ def test_pairs_equal_brute_force(spark):
     assert pairs(spark, rows) == sorted(want)
 
 
-def test_bounds_miss_nothing():
-    """Every pair within tau shares a probed cell and ring with the triangle inequality alone."""
+def test_what_shares_no_cell_is_far():
+    """Vectors within a distance of 7 share one of the 8 text cells; shared places are counted as they are."""
     rng = np.random.default_rng(3)
-    views = rng.integers(-(2**62), 2**62, 400)
-    cells = H.fit_cells(views, 400)
-    key = H.identity_points(np.repeat(views, 3), cells.side)
-    v = rng.normal(size=(1200, H.TEXT_DIMS))
-    v[1::3], v[2::3] = v[::3] + rng.normal(size=(400, H.TEXT_DIMS)) * 0.15, v[::3]
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    x = np.concatenate([key, v], 1)
-    d = cells.distances(x)
-    cell = d.argmin(1)
-    dist = d[np.arange(1200), cell]
-    radius = np.full(len(cells.centroids), -1e9)
-    np.maximum.at(radius, cell, dist)
-    near = np.argwhere(np.linalg.norm(x[:, None] - x[None], axis=2) <= H.TAU)
-    assert len(near) > 1200
-    for q, s in near:
-        assert d[q, cell[s]] - radius[cell[s]] <= H.TAU + 1e-6 and abs(d[q, cell[s]] - dist[s]) <= H.TAU + 1e-6
-    # and unrelated identities lie apart, so few are met for nothing
-    other = np.linalg.norm(key[::3][:, None] - key[::3][None], axis=2)[np.triu_indices(400, 1)]
-    assert (other <= H.TAU).mean() < 0.001
+    base = rng.integers(0, 2**32, (300, H.PLACES), dtype=np.uint32)
+    for d in range(8):
+        other = base.copy()
+        for r in other:
+            r[rng.choice(H.PLACES, d, replace=False)] += 1
+        cells = (other == base).reshape(300, -1, H.BAND).all(2)
+        assert cells.any(1).all()
+
+
+def test_vectors(spark):
+    rng = random.Random(11)
+    t = text(rng)
+    d = spark.createDataFrame([(t,), (t + " 고침",), (text(rng),), ("",), ("<p></p>",), ("짧다",), (t.upper() + "!",)], "text string")
+    rows = d.coalesce(1).mapInArrow(H._vectors, "text string, " + H._TEXT).collect()
+    assert [r.n_grams > 0 for r in rows] == [True, True, True, False, False, True, True] and rows[3].bands == [] and len(rows[5].bands) == 8 and len(rows[0].days) == H.DAY_PLACES
+    assert rows[0].bands == rows[6].bands and rows[0].digest == rows[6].digest != rows[1].digest
+    assert len(set(rows[0].bands) & set(rows[1].bands)) >= 4 and not set(rows[0].bands) & set(rows[2].bands)
+    words = lambda r: (r.s0, r.s1, r.s2, r.s3)
+    two = spark.createDataFrame([(*words(x), *words(y)) for x in rows for y in rows], "a0 bigint, a1 bigint, a2 bigint, a3 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    got = [r[0] for r in two.select(H.shared_places(*[(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(4)])).collect()]
+    octets = lambda r: b"".join(w.to_bytes(8, "little", signed=True) for w in words(r))
+    assert got == [sum(a == b for a, b in zip(octets(x), octets(y))) for x in rows for y in rows]
+
+
+def test_records_without_identity_are_met_by_text(spark):
+    """Fields of all later batches taken away: against all pairs of texts."""
+    d = spark.read.parquet("/root/testdata/sf0.01/precedents.parquet")
+    gone = lambda c: F.when(F.col("batch_no") == 0, F.col(c)).alias(c)
+    d = d.select("id", "batch_no", gone("provider"), gone("provider_record_id"), gone("court"), gone("case_number"), gone("decision_date"), "source_text").toPandas()
+    sets = []
+    h, row, _ = H.grams(pa.array(d.source_text, pa.string()))
+    at = np.searchsorted(row, np.arange(len(d) + 1))
+    sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+    want = set()
+    for j in np.flatnonzero(d.batch_no > 0):
+        for i in range(len(d)):
+            if i == j or not len(sets[i]) or not len(sets[j]) or (d.batch_no[i] > 0 and i > j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both / min(len(sets[i]), len(sets[j])) >= 0.9 and min(len(sets[i]), len(sets[j])) - both <= 2 * H.GRAM:
+                want.add(tuple(sorted((d.id[i], d.id[j]))))
+    rows = [tuple(None if x != x else x for x in r) for r in d.itertuples(index=False)]
+    got = set(map(tuple, H.repeated_decisions(spark.createDataFrame(rows, KIND.rsplit(", cell", 1)[0])).collect()))
+    assert len(want) > 40 and len(got & want) >= 0.9 * len(want)
+
+
+def test_index_goes_on_in_another_session(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [text(rng) for _ in range(30)]
+    row = lambda i, b, t, **k: (i, b, *{"provider": "p", "rid": "1000" + i[1:], "court": "새솔지방법원", "number": f"2019고단{i[1:]}00", "day": DAY, "text": t, **k}.values())
+    path = f"file://{tmp_path}/index"
+    H.HistoryIndex(spark, path).match(table(spark, [row(f"a{i}", 0, t) for i, t in enumerate(texts)]))
+    index = H.HistoryIndex(spark, path)
+    none = {"provider": None, "rid": None, "court": None, "number": None, "day": None}
+    batch = [row("b1", 1, texts[3], number="2007고합9876", provider="q"), row("b2", 1, texts[4] + " 고침", **none), row("b3", 1, text(rng))]
+    assert sorted(map(tuple, index.match(table(spark, batch)).collect())) == [("a3", "b1"), ("a4", "b2")]
+    assert sorted(map(tuple, H.HistoryIndex(spark, path).match(table(spark, [row("c1", 2, batch[2][7], **none), row("c2", 2, texts[4])])).collect())) == [("a4", "c2"), ("b2", "c2"), ("b3", "c1")]
+    assert len(index.appends()) == 3 and index.match(table(spark, [])).count() == 0
+
+
+def test_many_copies_share_entries(spark):
+    """A third of all rows has one text: its copies have one entry a cell between them, and all come back."""
+    t = text(random.Random(13))
+    rows = [(f"a{i:03d}", 0 if i < 5 else 1 + i % 2, "p", f"{5000 + i}", "새솔지방법원" if i % 2 else None, f"2019고단{7 * i}", DAY, t) for i in range(60)]
+    index = H.HistoryIndex(spark, H.stage_path(spark, "t"))
+    edges = index.match(table(spark, rows))
+    per = index._read("cells", index.appends()).groupBy("cell").count().agg(F.max("count")).collect()[0][0]
+    assert per <= 4 and H.groups(edges).agg(F.countDistinct("group"), F.count("id")).collect()[0] == (1, 60)
 
 
 def test_grams_know_texts_by_letters():
@@ -124,7 +179,9 @@ def test_edges(spark):
     assert pairs(spark, [row("b", 1), row("a", 1)]) == [("a", "b")]  # no history at all
     assert pairs(spark, [row("a", 0), row("c", 1), row("b", 2)]) == [("a", "b"), ("a", "c"), ("b", "c")]
     assert pairs(spark, [row("a", 0), row("b", 1, text=None), row("c", 1, text=""), row("d", 1, court="다른지방법원"), row("e", 1, number="2019고단8", text=t + " 끝이 다르다 아주 많이 다르다")]) == []
-    assert pairs(spark, [row("a", 0, provider=None, rid=None, court=None, number=None, day=None), row("b", 1, provider=None, rid=None, court=None, number=None, day=None)]) == []
+    none = {"provider": None, "rid": None, "court": None, "number": None, "day": None}
+    assert pairs(spark, [row("a", 0, **none), row("b", 1, **none), row("c", 1, **none | {"text": text(random.Random(3))})]) == [("a", "b")]  # by text alone
+    assert pairs(spark, [(None, 0, *row("a", 0)[2:]), (None, 1, *row("a", 0)[2:]), row("b", 1)]) == []
     assert pairs(spark, [row("a", 0, number=None), row("b", 1, number="")]) == [("a", "b")]  # by court and day
     long = text(random.Random(4), 30_000)
     assert pairs(spark, [row("a", 0, text=long), row("b", 1, text=long + ".")]) == [("a", "b")]
