@@ -4,8 +4,8 @@ The vector of a record has 32 text places (the least hash of its 8-grams under 3
 as often as their sets of 8-grams overlap) and its identities (court with case number, court with day, provider with
 record id, and the number alone between records with and without court). Its distance is the number of places that
 differ. The vector is cut into cells: 8 text cells of four places, one cell for each identity; court with day is joined
-with one text place at a time, as a court decides many cases a day. Cells are stored as an inverted file with the full
-vector beside each entry, below a named shared folder; new records are appended.
+with one text place at a time, as a court decides many cases a day. Cells are stored as an inverted file below a
+named shared folder, and the full vectors with the records; new records are appended.
 
 A query probes its own cells. The bound: a stored vector that shares no cell differs in a place of each of the 8 text
 cells, so it is at a distance of 8 or more in the text and in every identity. So every record within a distance of 7 is
@@ -31,7 +31,7 @@ from .splitting import _last
 
 GRAM = 8
 PLACES, BAND = 32, 4
-DAY_PLACES = 4
+DAY_PLACES = 3
 NEAR = 4  # places that a candidate must share: a tenth of the 8-grams of both
 PARTS = 16  # folders of the stored tables, by hash
 _U = np.uint64
@@ -230,8 +230,8 @@ def _overlaps(batches):
 
 
 _WORDS = ["s0", "s1", "s2", "s3"]
-_ENTRY = ["id", "batch_no", "court", *_WORDS]
-_CELLS = "cell bigint, id string, batch_no int, court bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, append string, block int"
+_CELLS = "cell bigint, rid bigint, batch_no int, append string, block int"
+SMALL = 100_000  # rows of a side that is broadcast, by its count
 _FIELDS = "id string, batch_no int, court string, numbers array<string>, day string, record string, text string"
 _RECORDS = f"{_FIELDS}, {_TEXT}, append string, part int"
 
@@ -256,9 +256,17 @@ def _cells_of(d: DataFrame, stored: bool) -> DataFrame:
     text = F.transform("bands", lambda x: F.xxhash64(F.lit("t"), x))
     record = F.array(_hash("r", F.col("record")))
     cells = F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in (by_number, loose, by_day, text, record)])))
-    return d.where("n_grams > 0").select(F.explode(cells).alias("cell"), "id", "batch_no", F.xxhash64(F.lit("c"), court).alias("court_hash"), court.isNull().alias("no_court"), *_WORDS).select(
-        "cell", "id", "batch_no", F.when(~F.col("no_court"), F.col("court_hash")).alias("court"), *_WORDS
-    )
+    return d.where("n_grams > 0").select(F.explode(cells).alias("cell"), _rid("id").alias("rid"), "batch_no", "first")
+
+
+def _rid(c: str) -> Column:
+    """Records go by a hash of their id in the cells; two that share one are only compared once more than needed."""
+    return F.xxhash64(c)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """Broadcast only what has been counted and is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 class HistoryIndex:
@@ -316,24 +324,28 @@ class HistoryIndex:
         return fresh, copies
 
     def _entries(self, records: DataFrame, copies: DataFrame, stored: bool) -> DataFrame:
-        """Entries of records; copies of one record have one entry a cell between them."""
-        all_of = _cells_of(records, stored)
-        own = all_of.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
-        of_copies = all_of.join(copies.select(F.col("b").alias("id"), "a"), "id")
-        one = of_copies.groupBy("cell", "a").agg(F.min_by(F.struct(*_ENTRY), F.struct("batch_no", "id")).alias("e"))
-        return own.select("cell", *_ENTRY).unionByName(one.select("cell", "e.*"))
+        """Entries (cell, rid, batch_no) of records; copies of one record have one entry a cell between them."""
+        of_first = _sized(copies.select(F.col("b").alias("id"), F.col("a").alias("first")))
+        all_of = _cells_of(records.drop("text").join(of_first, "id", "left"), stored)
+        one = all_of.where(F.col("first").isNotNull()).groupBy("cell", "first").agg(F.min(F.struct("batch_no", "rid")).alias("e"))
+        return all_of.where(F.col("first").isNull()).select("cell", "rid", "batch_no").unionByName(one.select("cell", "e.rid", "e.batch_no"))
 
     def candidates(self, batch: DataFrame, copies: DataFrame) -> DataFrame:
         """(a, b) that share a cell and NEAR text places; b of ``batch`` (stored records), a of an earlier batch or the same one."""
-        probes = self._entries(batch, copies, False)
-        probes = durable(probes.select("cell", *[F.col(c).alias(f"q_{c}") for c in _ENTRY]))
+        probes = durable(self._entries(batch, copies, False).select("cell", F.col("rid").alias("q_rid"), F.col("batch_no").alias("q_batch_no")))
         blocks = [r["block"] for r in probes.select(_folder("cell").alias("block")).distinct().collect()]  # at most PARTS
-        met = self._read("cells", self.appends()).where(F.col("block").isin(blocks)).join(probes, "cell").where(
-            ((F.col("batch_no") < F.col("q_batch_no")) | ((F.col("batch_no") == F.col("q_batch_no")) & (F.col("id") < F.col("q_id"))))
-            & (F.col("court").isNull() | F.col("q_court").isNull() | (F.col("court") == F.col("q_court")))
-            & (shared_places(*[(F.col(w), F.col(f"q_{w}")) for w in _WORDS]) >= NEAR)
+        earlier = (F.col("batch_no") < F.col("q_batch_no")) | ((F.col("batch_no") == F.col("q_batch_no")) & (F.col("rid") < F.col("q_rid")))
+        met = self._read("cells", self.appends()).where(F.col("block").isin(blocks)).join(probes, "cell").where(earlier)
+        met = durable(met.select("rid", "q_rid").distinct())
+        # the full vectors of what was met
+        rids = met.select("rid").union(met.select("q_rid")).distinct()
+        vectors = durable(self._read("records", self.appends()).select("id", _rid("id").alias("rid"), "court", *_WORDS).join(rids, "rid", "left_semi"))
+        side = lambda x, key: vectors.select(F.col("id").alias(x), F.col("rid").alias(key), F.col("court").alias(f"court_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in _WORDS])
+        near = met.join(side("a", "rid"), "rid").join(side("b", "q_rid"), "q_rid").where(
+            (F.col("court_a").isNull() | F.col("court_b").isNull() | (F.col("court_a") == F.col("court_b")))
+            & (shared_places(*[(F.col(f"{w}_a"), F.col(f"{w}_b")) for w in _WORDS]) >= NEAR)
         )
-        return met.select(F.col("id").alias("a"), F.col("q_id").alias("b")).distinct()
+        return near.select("a", "b")
 
     def rerank(self, candidates: DataFrame) -> DataFrame:
         """(a, b) that record the same decision, judged on whole texts.
