@@ -33,7 +33,7 @@ GRAM = 8
 PLACES, BAND = 32, 4
 DAY_PLACES = 3
 NEAR = 4  # places that a candidate must share: a tenth of the 8-grams of both
-PARTS = 16  # folders of the stored tables, by hash
+PARTS = 8  # folders of the stored tables, by hash
 _U = np.uint64
 _ORDERS = np.random.default_rng(8).integers(1, 2**31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -335,7 +335,9 @@ class HistoryIndex:
         probes = durable(self._entries(batch, copies, False).select("cell", F.col("rid").alias("q_rid"), F.col("batch_no").alias("q_batch_no")))
         blocks = [r["block"] for r in probes.select(_folder("cell").alias("block")).distinct().collect()]  # at most PARTS
         earlier = (F.col("batch_no") < F.col("q_batch_no")) | ((F.col("batch_no") == F.col("q_batch_no")) & (F.col("rid") < F.col("q_rid")))
-        met = self._read("cells", self.appends()).where(F.col("block").isin(blocks)).join(probes, "cell").where(earlier)
+        stored = self._read("cells", self.appends())
+        stored = stored.where(F.col("block").isin(blocks)) if len(blocks) < PARTS else stored
+        met = stored.join(probes, "cell").where(earlier)
         met = durable(met.select("rid", "q_rid").distinct())
         # the full vectors of what was met
         rids = met.select("rid").union(met.select("q_rid")).distinct()
@@ -357,7 +359,8 @@ class HistoryIndex:
         c = durable(candidates)
         ids = c.select(F.col("a").alias("id")).union(c.select("b")).distinct().withColumn("part", _folder("id"))
         parts = [r["part"] for r in ids.select("part").distinct().collect()]  # at most PARTS
-        needed = durable(self._read("records", self.appends()).where(F.col("part").isin(parts)).select("id", "numbers", "text").join(ids.select("id"), "id", "left_semi"))
+        stored = self._read("records", self.appends())
+        needed = durable((stored.where(F.col("part").isin(parts)) if len(parts) < PARTS else stored).select("id", "numbers", "text").join(ids.select("id"), "id", "left_semi"))
         side = lambda x: needed.select(F.col("id").alias(x), F.col("numbers").alias(f"numbers_{x}"), F.col("text").alias(f"text_{x}"))
         same = F.arrays_overlap("numbers_a", "numbers_b")
         digits = lambda c: F.transform(c, _any_order)
