@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from .charforms import CYRILLIC, GREEK, normalized
+from .charforms import normalized
 from .history import repeated_decisions
 from .mixing import Mix
 from .packing import pack, piece_texts
@@ -113,7 +113,12 @@ QUERIES = {
 
 # The character classes of p3 spelt out, as RE2 has neither tables nor look-around.
 _LETTER, _LATIN = "A-Za-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{370}-\\x{52F}\\x{1F00}-\\x{1FFF}", "A-Za-z\\x{C0}-\\x{24F}"
-_LOOK, _EMOJI = CYRILLIC + GREEK, "\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}"
+# Cyrillic and Greek letters whose glyphs are those of Latin letters, by code point and apart from the operator's table
+_LOOK = "".join(f"\\x{{{c}}}" for c in (
+    "410 412 415 405 406 408 41A 41C 41D 41E 420 421 422 423 425 430 435 455 456 458 43E 440 441 443 445 4BB 501 51B 51D 4AE "
+    "391 392 395 396 397 399 39A 39C 39D 39F 3A1 3A4 3A5 3A7 3BF 3F2 3F3"
+).split())
+_EMOJI = "\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}"
 _STANDS_FOR = (
     "\\x{A0}\\x{AD}\\x{300}-\\x{36F}\\x{387}\\x{1100}-\\x{11FF}\\x{2000}-\\x{200C}\\x{200E}-\\x{2012}\\x{2027}-\\x{202F}\\x{205F}-\\x{206F}\\x{2212}\\x{2219}\\x{22C5}"
     "\\x{3000}\\x{30FB}\\x{318D}\\x{F900}-\\x{FAFF}\\x{FB00}-\\x{FB06}\\x{FEFF}\\x{FF01}-\\x{FFEE}"

@@ -5,8 +5,8 @@ becomes (nothing, one or several code points: gathers with expansion offsets), l
 letters, and marks and conjoining jamo are composed by sorted pair tables. No string function runs per row.
 
 What counts as ordinary and stays: composed Hangul, single (compatibility) jamo, ASCII, U+00B7, 【】, unified
-ideographs, composed letters, words of another script (a run with a letter that has no Latin look-alike), other
-visible signs, emoji sequences with their joiners and variation selectors.
+ideographs, composed letters, words of another script (with a letter that has no Latin look-alike, or beside such words),
+other visible signs, emoji sequences with their joiners and variation selectors.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ _MAX = 0x110000
 # Letters that look like Latin ones, in the order of the Latin string beside them.
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝҮ", "ABESIJKMHOPCTYXaesijopcyxhdqwY"
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"
+# Letters that pass for Latin ones only in the midst of them.
+GLANCE, GLANCE_AS = "αγικνρσυωЬԌ", "ayikvpouwbG"
 MIDDLE_DOTS = "\u0387\u2027\u2219\u22c5\u2e31\u30fb\uff65\u318d"
 HYPHENS = "\u2010\u2011\u2012\u2212\ufe63\uff0d"
 APOSTROPHES = "\u02bc\uff07"
@@ -94,6 +96,9 @@ class _Tables:
                 self.look[ord(a)] = ord(b)
                 if not self.back[kind][ord(b)]:
                     self.back[kind][ord(b)] = ord(a)
+        self.glance = np.zeros(_MAX, np.uint32)
+        for a, b in zip(GLANCE, GLANCE_AS):
+            self.glance[ord(a)] = ord(b)
         self.jamo = np.zeros(_MAX, np.uint32)
         for base, group in ((_L, LEADS), (_V, VOWELS), (_T + 1, TAILS)):
             for i, ch in enumerate(group):
@@ -161,28 +166,50 @@ def _replace(cp: np.ndarray, row: np.ndarray, t: _Tables) -> tuple[np.ndarray, n
 
 
 def _lookalikes(cp: np.ndarray, row: np.ndarray, t: _Tables) -> np.ndarray:
-    """Look-alike letters by runs of letters: Latin unless the run has a letter that only the other script has."""
+    """Look-alike letters by runs of letters, which are words.
+
+    A word of look-alikes alone is Latin, unless it stands beside words of its own script: one with a letter that only
+    that script has, or three words with ten letters together. In a word with Latin letters the rarer script gives way;
+    there letters count as well that look like Latin ones only at a glance.
+    """
     script = t.script[cp]
     if not (script > 1).any():
         return cp
     member = script > 0
-    mark = (t.ccc[cp] > 0) & ~member
-    member |= mark
+    member |= (t.ccc[cp] > 0) & ~member
     joined = np.zeros(len(cp), bool)
     joined[1:] = member[1:] & member[:-1] & (row[1:] == row[:-1])
-    run = np.cumsum(~joined) - 1
-    n = run[-1] + 1
-    own = (script > 1) & (t.look[cp] == 0)
-    has_own = np.bincount(run[own], minlength=n) > 0
-    out = np.where((script > 1) & ~own & ~has_own[run], t.look[cp], cp)
-    for kind in (2, 3):  # Latin letters inside a word of the other script
-        has = np.bincount(run[own & (script == kind)], minlength=n) > 0
-        latin = (script == 1) & has[run]
-        if latin.any():
-            stuck = np.bincount(run[latin & (t.back[kind][cp] == 0)], minlength=n) > 0
-            swap = latin & ~stuck[run]
-            out = np.where(swap, t.back[kind][cp], out)
-    return out.astype(np.uint32)
+    at = np.flatnonzero(member)
+    first = np.flatnonzero(member & ~joined)
+    run = np.cumsum(member & ~joined)[at] - 1
+    n = len(first)
+    last = np.append(at[np.flatnonzero(np.diff(run))], at[-1])
+    kind, letter = script[at], cp[at]
+    own = (kind > 1) & (t.look[letter] == 0)
+    count = lambda x: np.bincount(run[x], minlength=n)
+    latin, cyrillic, greek, n_own = count(kind == 1), count(kind == 2), count(kind == 3), count(own)
+    # neighbours: words of one script with at most three other signs between them
+    pure = np.where(latin > 0, 0, np.where(greek == 0, 2, np.where(cyrillic == 0, 3, 0)))
+    others = np.concatenate([[0], np.cumsum(cp >= 0x2E80)])
+    beside = np.zeros(n, bool)
+    beside[1:] = (pure[1:] > 0) & (pure[1:] == pure[:-1]) & (row[first[1:]] == row[last[:-1]]) & (first[1:] - last[:-1] <= 4) & (others[first[1:]] == others[last[:-1] + 1])
+    phrase = np.cumsum(~beside) - 1
+    total = lambda w: np.bincount(phrase, weights=w)[phrase]
+    real = (pure > 0) & ((total(n_own) > 0) | ((total(np.ones(n)) >= 3) & (total(cyrillic + greek) >= 10)))
+    out = np.where((kind > 1) & ~own & (n_own[run] == 0) & ~real[run], t.look[letter], letter)
+    # a word with Latin letters in it
+    strange = count((kind > 1) & (t.look[letter] == 0) & (t.glance[letter] == 0))
+    to_latin = (latin > cyrillic + greek) & (strange == 0) & (n_own > 0)
+    out = np.where((kind > 1) & to_latin[run], np.where(t.look[letter] > 0, t.look[letter], t.glance[letter]), out)
+    for k in (2, 3):  # Latin letters inside a word of the other script
+        has = (count(own & (kind == k)) > 0) & ~to_latin
+        inside = (kind == 1) & has[run]
+        if inside.any():
+            stuck = count(inside & (t.back[k][letter] == 0)) > 0
+            out = np.where(inside & ~stuck[run], t.back[k][letter], out)
+    cp = cp.astype(np.uint32)
+    cp[at] = out
+    return cp
 
 
 def _order_marks(cp: np.ndarray, row: np.ndarray, t: _Tables) -> np.ndarray:

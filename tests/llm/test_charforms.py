@@ -20,7 +20,7 @@ def form(*texts):
         ("ＳｏｍｉＣｈａｔ으로", "SomiChat으로"), ("РоlarCаst", "PolarCast"), ("А는 ΙΡ РС", "A는 IP PC"), ("résumé ca‍fé", "résumé café"), ("ｒｅ́ｓ", "rés"),
         ("각 한글", "각 한글"), ("a b c　d e", "a b c d e"), ("﻿t­e​x⁠t‎", "text"), ("나이ㆍ직업・전화⋅문자‧등･끝", "나이·직업·전화·문자·등·끝"),
         ("K−814 Chat‑Log‐x－y", "K-814 Chat-Log-x-y"), ("金某 不知", "金某 不知"), ("со", "co"), ("mooοn", "mooon"), ("ﬁx", "fix"), ("ᄀ", "ㄱ"), ("a‍b", "ab"), ("\U0001d400b", "Ab"),
-        ("дружбa", "дружба"),
+        ("дружбa", "дружба"), ("pαypαl νisa", "paypal visa"), ("РС 사건", "PC 사건"), ("РС АТ", "PC AT"), ("Ԍood", "Good"),
     ],
 )
 def test_one_form(odd, plain):
@@ -29,7 +29,7 @@ def test_one_form(odd, plain):
 
 @pytest.mark.parametrize(
     "text",
-    ["한글 ㅋㅋ ㅠㅠ abc 1·2 【주문】 金某 résumé", "θάλασσα дружба спасибо λόγος Ελπίδα привет", "👩‍💻 🏳️‍🌈 ❤️ 👨‍👩‍👧 1️⃣", "ドラ・エモン", "① ™ … – “x” ㈜", "", "\n\t a  b\r\n"],
+    ["한글 ㅋㅋ ㅠㅠ abc 1·2 【주문】 金某 résumé", "θάλασσα дружба спасибо λόγος Ελπίδα привет", "👩‍💻 🏳️‍🌈 ❤️ 👨‍👩‍👧 1️⃣", "ドラ・エモン", "СТАРТ СССР РОСА", "он сказал: СТОП, РОСА тут", "Ο ΑΝΗΡ έφυγε", "α값 ρ", "① ™ … – “x” ㈜", "", "\n\t a  b\r\n"],
 )
 def test_ordinary_signs_stay(text):
     assert form(text) == [text]
