@@ -20,7 +20,6 @@ VERDICTS = [
 ]
 READER = r"(회원님|귀하|당신|의뢰인|사용자)\s*(의)?\s*(사건|상황|경우)?[^.]{0,20}(해당|성립|충족|처벌|유죄|무죄)"
 ELEMENTS = ["purpose", "medium", "expression", "reached"]
-SENTENCES = "array<struct<text:string,paragraphIds:array<string>>>"
 
 
 def matches_any(c: Column, patterns: list[str]) -> Column:
@@ -32,20 +31,43 @@ def has_exactly(json: Column, keys: list[str]) -> Column:
     return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
 
 
+def json_type(v: Column) -> Column:
+    """Type of a JSON value (VARIANT): STRING, ARRAY, OBJECT or another; null where there is none."""
+    return F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+
+
+def _item(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant")
+
+
+def _items(v: Column, key: str) -> Column:
+    """The raw items of a list; null where it is none."""
+    got = _item(v, key)
+    return F.when(json_type(got) == "ARRAY", F.try_variant_get(got, "$", "array<variant>"))
+
+
+def _text(v: Column) -> Column:
+    """A JSON string without white space around it; null for every other type."""
+    return F.when(json_type(v) == "STRING", F.regexp_replace(F.try_variant_get(v, "$", "string"), "(?U)^[\\s\\uFEFF]+|[\\s\\uFEFF]+$", ""))
+
+
 def validate_summary(payload: Column, allowed: Column) -> Column:
     """V1. STRUCT<sentences, error>: all or nothing.
 
-    ``payload`` is JSON text, ``allowed`` the ids that may be cited. Null and broken JSON are an error.
+    ``payload`` is JSON text, ``allowed`` the ids that may be cited. Null and broken JSON are an error; values are judged
+    by their JSON types, so numbers and objects are no texts and no ids.
     """
-    items = F.from_json(F.get_json_object(payload, "$.sentences"), "array<string>")
-    sentences = F.transform(F.from_json(F.get_json_object(payload, "$.sentences"), SENTENCES), lambda s: F.struct(F.trim(s["text"]).alias("text"), F.array_distinct(s["paragraphIds"]).alias("paragraphIds")))
-    well = F.forall(items, lambda i: has_exactly(i, ["paragraphIds", "text"]))
+    v = F.try_parse_json(payload)
+    items = _items(v, "sentences")
+    ids = lambda i: F.transform(_items(i, "paragraphIds"), lambda p: F.when(json_type(p) == "STRING", F.try_variant_get(p, "$", "string")))
+    sentences = F.transform(items, lambda i: F.struct(_text(_item(i, "text")).alias("text"), F.array_distinct(ids(i)).alias("paragraphIds")))
+    well = F.forall(items, lambda i: has_exactly(F.to_json(i), ["paragraphIds", "text"]))
     neutral = F.forall(sentences, lambda s: F.coalesce((F.length(s["text"]).between(1, 500)) & ~matches_any(s["text"], PREDICTIONS), F.lit(False)))
     cited = F.forall(sentences, lambda s: F.coalesce(F.size(s["paragraphIds"]).between(1, 5), F.lit(False)))
     known = F.forall(sentences, lambda s: F.forall(s["paragraphIds"], lambda p: F.coalesce(F.array_contains(allowed, p), F.lit(False))))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     error = (
-        F.when(no(has_exactly(payload, ["sentences"])), "FORM").when(no(F.size(items).between(1, 3)), "SENTENCE_COUNT").when(no(F.size(allowed) > 0), "NO_PARAGRAPHS")
+        F.when(no(has_exactly(F.to_json(v), ["sentences"])), "FORM").when(no(F.size(items).between(1, 3)), "SENTENCE_COUNT").when(no(F.size(allowed) > 0), "NO_PARAGRAPHS")
         .when(no(well), "SENTENCE_FORM").when(no(neutral), "NOT_NEUTRAL").when(no(cited), "CITATION_COUNT").when(no(known), "UNKNOWN_PARAGRAPH")
     )
     return F.struct(F.when(error.isNull(), sentences).alias("sentences"), error.alias("error"))
@@ -60,36 +82,55 @@ def is_neutral(c: Column, about_precedent: bool = False) -> Column:
 def validate_analysis(payload: Column, allowed: Column, elements: list[str] = ELEMENTS) -> Column:
     """V2, W6, Q9. STRUCT<overview, elementNotes, precedentNotes, nextSteps, dropped>: bad items go, nothing fails.
 
-    The first neutral note of an element stays. ``dropped`` names the list of each item that went for its contents.
+    Each item is judged by itself and by its JSON type: one that is malformed costs no other. The first good note of an
+    element stays. ``dropped`` names the list of each item that went: texts for what they say (blank, too long and
+    other types than strings go without a word), notes for anything.
     """
-    texts = lambda key: F.coalesce(F.from_json(F.get_json_object(payload, f"$.{key}"), "array<string>"), F.array().cast("array<string>"))
-    sized = lambda t, most: F.when(F.length(F.trim(t)).between(1, most), F.trim(t))
+    v = F.try_parse_json(payload)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    sized = lambda t, most: F.when(F.length(t).between(1, most), t)
 
     def plain(key: str, most: int, n: int) -> tuple[Column, Column]:
-        good = F.array_compact(F.transform(texts(key), lambda t: sized(t, most)))
+        good = F.coalesce(F.array_compact(F.transform(_items(v, key), lambda i: sized(_text(i), most))), none("string"))
         return F.slice(F.filter(good, lambda t: is_neutral(t)), 1, n), F.size(F.filter(good, lambda t: ~is_neutral(t)))
 
-    def notes(key: str, name: str) -> Column:
-        kind = f"array<struct<{name}:string,text:string>>"
-        return F.coalesce(F.from_json(F.get_json_object(payload, f"$.{key}"), kind), F.array().cast(kind))
+    def notes(key: str, name: str, fits) -> tuple[Column, Column]:
+        kind = f"struct<{name}:string,text:string>"
+        named = lambda i: F.when(json_type(_item(i, name)).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), F.try_variant_get(i, f"$.{name}", "string"))
+        read = F.transform(_items(v, key), lambda i: F.struct(named(i).alias(name), sized(_text(_item(i, "text")), 400).alias("text")))
+        read = F.coalesce(read, none(kind))
+        return F.filter(read, lambda n: F.coalesce(fits(n) & n["text"].isNotNull(), F.lit(False))), F.size(read)
 
     overview, bad_overview = plain("overview", 400, 4)
     steps, bad_steps = plain("nextSteps", 200, 5)
-    el = notes("elementNotes", "id")
-    fits = F.filter(el, lambda n: F.coalesce(n["id"].isin(elements) & sized(n["text"], 400).isNotNull() & is_neutral(n["text"]), F.lit(False)))
-    of = lambda e: F.get(F.filter(fits, lambda n: n["id"] == e), F.lit(0))
-    first = F.array_compact(F.array(*[of(e) for e in elements]))
-    order = F.array_distinct(F.transform(fits, lambda n: n["id"]))
-    el_kept = F.transform(F.transform(order, lambda i: F.get(F.filter(first, lambda n: n["id"] == i), F.lit(0))), lambda n: F.struct(n["id"].alias("id"), F.trim(n["text"]).alias("text")))
-    pr = notes("precedentNotes", "caseNumber")
-    pr_fit = F.filter(pr, lambda n: F.coalesce(F.array_contains(allowed, n["caseNumber"]) & sized(n["text"], 400).isNotNull() & is_neutral(n["text"], True), F.lit(False)))
-    pr_kept = F.slice(F.transform(pr_fit, lambda n: F.struct(n["caseNumber"].alias("caseNumber"), F.trim(n["text"]).alias("text"))), 1, 6)
+    el, n_el = notes("elementNotes", "id", lambda n: n["id"].isin(elements) & is_neutral(n["text"]))
+    ids = F.transform(el, lambda n: n["id"])
+    el_kept = F.filter(el, lambda n, i: F.array_position(ids, n["id"]) == i + 1)
+    pr, n_pr = notes("precedentNotes", "caseNumber", lambda n: F.array_contains(allowed, n["caseNumber"]) & is_neutral(n["text"], True))
     dropped = F.concat(
-        F.array_repeat(F.lit("overview"), bad_overview), F.array_repeat(F.lit("elementNote"), F.size(el) - F.size(el_kept)),
-        F.array_repeat(F.lit("precedentNote"), F.size(pr) - F.size(pr_fit)), F.array_repeat(F.lit("nextStep"), bad_steps),
+        F.array_repeat(F.lit("overview"), bad_overview), F.array_repeat(F.lit("elementNote"), n_el - F.size(el_kept)), F.array_repeat(F.lit("precedentNote"), n_pr - F.size(pr)),
+        F.array_repeat(F.lit("nextStep"), bad_steps),
+    )
+    dropped = F.when(json_type(v) == "OBJECT", dropped).otherwise(F.array(F.lit("payload")))
+    return F.struct(overview.alias("overview"), el_kept.alias("elementNotes"), F.slice(pr, 1, 6).alias("precedentNotes"), steps.alias("nextSteps"), dropped.alias("dropped"))
+
+
+def client_analysis(payload: Column, allowed: Column, elements: list[str] = ELEMENTS) -> Column:
+    """V5. What a client shows of an analysis: STRUCT<overview, elementNotes, precedentNotes, nextSteps>, read again item by
+    item; null if there is none. Texts are trimmed and not blank; notes name a known element or a case of the results."""
+    v = F.try_parse_json(payload)
+    texts = lambda key, n: F.slice(F.filter(F.array_compact(F.coalesce(F.transform(_items(v, key), _text), F.array().cast("array<string>"))), lambda t: t != ""), 1, n)
+
+    def notes(key: str, name: str, known) -> Column:
+        named = lambda i: F.when(json_type(_item(i, name)) == "STRING", F.try_variant_get(i, f"$.{name}", "string"))
+        read = F.transform(_items(v, key), lambda i: F.struct(named(i).alias(name), _text(_item(i, "text")).alias("text")))
+        return F.coalesce(F.filter(read, lambda n: F.coalesce(known(n[name]) & (n["text"] != ""), F.lit(False))), F.array().cast(f"array<struct<{name}:string,text:string>>"))
+
+    out = F.struct(
+        texts("overview", 4).alias("overview"), notes("elementNotes", "id", lambda x: x.isin(elements)).alias("elementNotes"),
+        notes("precedentNotes", "caseNumber", lambda x: F.array_contains(allowed, x)).alias("precedentNotes"), texts("nextSteps", 5).alias("nextSteps"),
     )
-    dropped = F.when(F.coalesce(payload.rlike(r"^\s*\{"), F.lit(False)), dropped).otherwise(F.array(F.lit("payload")))
-    return F.struct(overview.alias("overview"), el_kept.alias("elementNotes"), pr_kept.alias("precedentNotes"), steps.alias("nextSteps"), dropped.alias("dropped"))
+    return F.when(json_type(v) == "OBJECT", out)
 
 
 def element_mentions(facts: Column) -> Column:

@@ -127,22 +127,42 @@ def current_runs(log: DataFrame) -> DataFrame:
     return latest(log, ["id"], [F.col("completed_at").desc_nulls_last(), F.col("status").desc()])
 
 
+def _files(spark: SparkSession, root: str):
+    jvm = spark._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    path, fs = _files(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(path(root))) if n.startswith("current-"))
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """DML11. All tables are written under a new version; the pointer file is renamed last, so readers see all or none."""
+    """DML11. All tables are written under a new version, then a pointer is added; the last pointer counts.
+
+    A pointer is written aside and renamed to a name that is new, and none is ever deleted, so readers always find a
+    version and see all of its tables or none. A run that fails before the rename changes nothing for them.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    jvm = spark._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(root).getFileSystem(conf)
-    out = fs.create(path(f"{root}/CURRENT.tmp"), True)
+    path, fs = _files(spark, root)
+    last = _pointers(spark, root)
+    number = int(last[-1].split("-")[1]) + 1 if last else 0
+    aside = path(f"{root}/_new-{version}")
+    out = fs.create(aside, True)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
     out.close()
-    if fs.exists(path(f"{root}/CURRENT")):
-        fs.delete(path(f"{root}/CURRENT"), False)
-    fs.rename(path(f"{root}/CURRENT.tmp"), path(f"{root}/CURRENT"))
+    if not fs.rename(aside, path(f"{root}/current-{number:012d}")):
+        raise RuntimeError("another run has published at the same time")
 
 
 def published(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    version = json.loads(spark.read.text(f"{root}/CURRENT").first()[0])["version"]
+    """The tables of the last version that was published."""
+    last = _pointers(spark, root)
+    if not last:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    version = json.loads(spark.read.text(f"{root}/{last[-1]}").first()[0])["version"]
     return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}

@@ -59,7 +59,15 @@ class OrphanCascade:
 
     def __init__(self, refs: list[References], tgts: list[Targets]):
         union = lambda xs: reduce(DataFrame.unionByName, [x.rows for x in xs])
-        self._refs, self._raw_targets = union(refs), union(tgts)
+        self._refs, self._raw_targets, self._kept = union(refs), union(tgts), None
+
+    def _edges(self) -> DataFrame:
+        """The references, once a month and referring record, written once: rounds and report read them again."""
+        if self._kept is None:
+            month = F.date_format("written_at", "yyyy-MM").alias("_month")
+            keys = ["ref_table", "own_1", "own_2", "target", "k1", "k2"]
+            self._kept = durable(self._refs.groupBy(*keys, month).agg(F.min("written_at").alias("written_at")).drop("_month"))
+        return self._kept
 
     def _arrivals(self) -> DataFrame:
         return self._raw_targets.where(F.col("k1").isNotNull() & F.col("k2").isNotNull()).groupBy("target", "k1", "k2").agg(
@@ -69,7 +77,7 @@ class OrphanCascade:
     def _judged(self, *extra: Column) -> DataFrame:
         """One row per reference (and ``extra``) with ``direct``: the earliest referring row decides."""
         names = ["ref_table", "target", "k1", "k2"]
-        once = self._refs.groupBy(*names, *extra).agg(F.min("written_at").alias("written_at"))
+        once = (self._refs if self._kept is None else self._kept).groupBy(*names, *extra).agg(F.min("written_at").alias("written_at"))
         late = F.coalesce(F.col("arrived_at") > F.col("written_at"), F.lit(False))
         return once.join(self._arrivals(), ["target", "k1", "k2"], "left").withColumn("direct", F.col("there").isNull() | late)
 
@@ -80,7 +88,7 @@ class OrphanCascade:
     def orphan_records(self) -> DataFrame:
         """The fixpoint: (target, k1, k2) of each record with an orphan reference, and its round (0 = direct)."""
         own = lambda df: df.select(F.col("ref_table").alias("target"), F.col("own_1").alias("k1"), F.coalesce("own_2", F.lit("")).alias("k2")).where(F.col("k1").isNotNull()).distinct()
-        edges = self._refs.select("ref_table", "own_1", "own_2", "target", "k1", "k2").distinct()
+        edges = self._edges()
         parents = [r[0] for r in edges.select("target").distinct().collect()]  # table names: as many as the graph has tables
         bad = self.direct()
         frontier = durable(own(edges.join(bad, ["ref_table", "target", "k1", "k2"], "left_semi")).withColumn("round", F.lit(0)))
@@ -96,14 +104,14 @@ class OrphanCascade:
 
     def inherited(self) -> DataFrame:
         """ref_table, target, k1, k2 of each reference that isn't direct but leads to an orphaned record."""
-        bad = self.orphan_records().select("target", "k1", "k2")
+        bad = self.orphan_records().select("target", "k1", "k2")  # first, so that the references are written once
         return self._judged().where(~F.col("direct")).join(bad, ["target", "k1", "k2"], "left_semi").select("ref_table", "target", "k1", "k2")
 
     def report(self) -> DataFrame:
         """ref_table, month (yyyy-MM of the referring row, '' if unknown), orphan_kind, n_references (distinct)."""
         month = F.coalesce(F.date_format("written_at", "yyyy-MM"), F.lit("")).alias("month")
-        judged = self._judged(month)
         bad = self.orphan_records().select("target", "k1", "k2", F.lit(True).alias("bad"))
+        judged = self._judged(month)
         kind = F.when(F.col("direct"), "direct").when(F.col("bad"), "inherited")
         return (
             judged.join(bad, ["target", "k1", "k2"], "left").withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull())

@@ -110,9 +110,9 @@ def fact_labels(pairs: Column, labels: dict[tuple[str, str], str], most: int = 4
     return F.slice(F.array_compact(named), 1, most)
 
 
-def summary_estimate(paragraphs: DataFrame, doc: str, least: int = 3) -> DataFrame:
+def summary_estimate(paragraphs: DataFrame, doc: str, least: int = 3, normalize: bool = True) -> DataFrame:
     """A6. One row: documents with enough relevant paragraphs, and their characters."""
     from .sections import select_relevant
 
-    one = select_relevant(paragraphs, doc, least=least).groupBy(doc).agg(F.sum(F.length("body")).alias("n"))
+    one = select_relevant(paragraphs, doc, least=least, normalize=normalize).groupBy(doc).agg(F.sum(F.length("body")).alias("n"))
     return one.agg(F.count(F.lit(1)).alias("eligible"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chars"))

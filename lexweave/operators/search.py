@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.rules import compare_facts, facts, focus, focus_penalty, is_known, is_target_case, let, with_defaults
 from ..functions.text import clamp, half_up, normalize_query, query_terms, tokens
+from ..session import durable
 from .embedding import cosine, is_vector
 
 # Fixed values.
@@ -141,8 +142,8 @@ class Corpus:
     """Searchable records: id, court, case_number, case_name, decision_date, source_text, searchable, facts (STRUCT),
     and for the hybrid path verified_at, link_checked_at, link_status, embedding."""
 
-    def __init__(self, records: DataFrame, normalize: bool = True):
-        self.records, self.spark, self.normalize = records, records.sparkSession, normalize
+    def __init__(self, records: DataFrame, normalize: bool = True, hours: int = 24):
+        self.records, self.spark, self.normalize, self.hours = records, records.sparkSession, normalize, hours
 
     def gated(self) -> DataFrame:
         """F1."""
@@ -156,10 +157,12 @@ class Corpus:
         return d.orderBy(F.desc("rank"), F.desc_nulls_last("decision_date"), F.asc("id")).limit(limit)
 
     def vector_candidates(self, vector: list[float], as_of: Column, limit: int = VECTOR_LIMIT) -> DataFrame:
-        """T2, R6. Exact, not an approximate index."""
+        """T2, R6. Exact, not an approximate index; similarities that differ beyond the sixth place are ties."""
         v = F.array(*[F.lit(float(x)) for x in vector])
-        d = self.gated().where(fresh(as_of) & is_vector(F.col("embedding"), len(vector))).withColumn("similarity", cosine(F.col("embedding"), v)).withColumn("_f", with_defaults(F.col("facts")))
-        return d.drop("source_text", "embedding").orderBy(F.desc("similarity"), F.desc_nulls_last("decision_date"), F.asc("id")).limit(limit)
+        d = self.gated().where(fresh(as_of, self.hours) & is_vector(F.col("embedding"), len(vector))).withColumn("similarity", F.round(cosine(F.col("embedding"), v), 6))
+        # facts are made of the rows that are left only
+        d = d.drop("embedding").orderBy(F.desc("similarity"), F.desc_nulls_last("decision_date"), F.asc("id")).limit(limit)
+        return d.withColumn("_f", with_defaults(F.col("facts"))).drop("source_text")
 
     def search(self, query: str, as_of: Column | None = None, embedder=None, limit: int = 5) -> SearchResult:
         """R15. Out of scope, lexical, hybrid, or lexical again where the vectors fail."""
@@ -181,10 +184,10 @@ class Corpus:
             (vector,) = embedder.embed([row["q"]])
         except Exception as e:  # noqa: BLE001
             return SearchResult(lexical(), "fallback_without_embeddings", available, getattr(e, "code", "EMBEDDING_FAILED"), shown)
-        near = self.vector_candidates(vector, as_of)
+        near = durable(self.vector_candidates(vector, as_of))  # at most VECTOR_LIMIT rows, ranked once
         if near.isEmpty():
             return SearchResult(lexical(), "fallback_without_embeddings", available, "NO_EMBEDDED_CANDIDATES", shown)
-        current = self.gated().where(fresh(as_of)).agg(F.count(F.lit(1)).alias("available_count"))
+        current = self.gated().where(fresh(as_of, self.hours)).agg(F.count(F.lit(1)).alias("available_count"))
         return SearchResult(rank_hybrid(scored(near), limit), "hybrid_embeddings", current, query_facts=shown)
 
 

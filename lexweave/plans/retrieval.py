@@ -86,10 +86,9 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
     v = e.where("vec_id = 7").first()["embedding"]
     p = _precedents(spark, sf).withColumn("facts", R.facts(F.col("source_text"), normalize=False)).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 500)
-    c = search.Corpus(p.join(e.select("vec_id", "embedding"), "vec_id"), normalize=False).gated()
-    d = c.where(search.fresh(F.lit(AS_OF).cast("timestamp_ntz"), HOURS)).withColumn("similarity", embedding.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in v])))
-    d = d.drop("source_text", "embedding").withColumn("s6", F.round("similarity", 6)).orderBy(F.desc("s6"), F.desc_nulls_last("decision_date"), F.asc("id")).limit(search.VECTOR_LIMIT)
-    d = d.withColumn("comparison", R.compare_facts(_case(), R.with_defaults(F.col("facts")))).withColumn("focus", R.focus(F.col("case_name"), False))
+    c = search.Corpus(p.join(e.select("vec_id", "embedding"), "vec_id"), normalize=False, hours=HOURS)
+    d = c.vector_candidates(v, F.lit(AS_OF).cast("timestamp_ntz"))
+    d = d.withColumn("comparison", R.compare_facts(_case(), F.col("_f"))).withColumn("focus", R.focus(F.col("case_name"), False))
     return search.rank_hybrid(d, 20, 20).select("id", "score", "semantic_score")
 
 
@@ -195,14 +194,12 @@ def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _estimate(spark: SparkSession, sf: str) -> DataFrame:
-    one = sections.select_relevant(_paragraphs(spark, sf), "precedent_id", least=2, normalize=False).groupBy("precedent_id").agg(F.sum(F.length("body")).alias("n"))
-    return one.agg(F.count(F.lit(1)).alias("eligible"), F.sum("n").alias("n_chars"))
+    return quality.summary_estimate(_paragraphs(spark, sf), "precedent_id", least=2, normalize=False)
 
 
 def _estimate_whole(spark: SparkSession, sf: str) -> DataFrame:
     """With the operator's own bounds."""
-    one = sections.select_relevant(_paragraphs(spark, sf), "precedent_id", normalize=False).groupBy("precedent_id").agg(F.sum(F.length("body")).alias("n"))
-    return one.agg(F.count(F.lit(1)).alias("eligible"), F.sum("n").alias("n_chars"))
+    return quality.summary_estimate(_paragraphs(spark, sf), "precedent_id", normalize=False)
 
 
 def query_normalization(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) a temporary folder is set, once per session.
+    Only where the session names none and runs in one process (local tests) a temporary folder is set, once a session;
+    on a cluster that is an error, as executors would write to disks of their own.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("lexweave.checkpoint.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="lexweave-")
