@@ -53,7 +53,10 @@ def upsert_records(target: DataFrame, source: DataFrame, keys: list[str]) -> Dat
     reset = {c: (same, F.lit(None)) for c in ("verified_at", "link_checked_at", "link_status") if c in target.columns}
     if "searchable" in target.columns:
         reset["searchable"] = (same, F.lit(False))
-    return merge_upsert(target, source.drop(*reset), keys, reset)
+    source = source.drop(*reset)
+    if "id" in target.columns and "id" in source.columns:
+        reset["id"] = (F.lit(True), F.col("s.id"))  # a known record keeps its id
+    return merge_upsert(target, source, keys, reset)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

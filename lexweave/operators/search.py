@@ -34,6 +34,11 @@ def clamp_limit(n: Any, most: int = 5, default: int = 5) -> int:
     return default if n == 0 else max(1, min(most, n))
 
 
+def clamp_limit_column(n: Column, most: int = 5, default: int = 5) -> Column:
+    """T6 over a column."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, default).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), n)))
+
+
 def hit_count(text: Column, terms: list[str]) -> Column:
     """R4. Positions of the text's words that equal a term (any case); a word is a whole run of letters and digits.
 
@@ -127,6 +132,18 @@ def identified(df: DataFrame, hosts: list[str]) -> DataFrame:
     return df.where(whole & is_official(F.col("official_url"), hosts))
 
 
+def client_results(df: DataFrame, hosts: list[str]) -> DataFrame:
+    """R23. Results as a client shows them: those with a whole identity and an official address, each score between 0 and
+    100 (0 for none), focused unless said otherwise. Reads semantic_score, fact_score, issue_score, score and focus."""
+
+    def safe(c: str) -> Column:
+        return half_up(clamp(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), 0.0, 100.0))
+
+    names = {"semantic": "semantic_score", "facts": "fact_score", "issues": "issue_score", "total": "score"}
+    d = identified(df, hosts).withColumn("focus", F.when(F.col("focus").isin("mixed", "peripheral"), F.col("focus")).otherwise("focused"))
+    return d.withColumn("similarity", F.struct(*[safe(c).alias(n) for n, c in names.items()]))
+
+
 @dataclass
 class SearchResult:
     """R20. Rows, the mode in which they were found, why another one wasn't used, and what was compared."""

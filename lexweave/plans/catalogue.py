@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hygiene, records, retrieval
+from . import hygiene, records, retrieval, workflows
 
-QUERIES = {**retrieval.QUERIES, **records.QUERIES, **hygiene.QUERIES}
-ORACLE = {**retrieval.ORACLE, **records.ORACLE, **hygiene.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **hygiene.QUERIES, **workflows.QUERIES}
+ORACLE = {**retrieval.ORACLE, **records.ORACLE, **hygiene.ORACLE, **workflows.ORACLE}

@@ -42,7 +42,10 @@ def detail_records(spark: SparkSession, sf: str) -> DataFrame:
 def bronze_documents(spark: SparkSession, sf: str) -> DataFrame:
     """DML3. One row for each content of a record, touched by every delivery of the same content."""
     d = read(spark, sf, "source_documents")
-    return d.groupBy("source_id", "external_id", "raw_hash").agg(F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
+    seen = lambda x: x.groupBy("source_id", "external_id", "raw_hash").agg(F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
+    first = {"first_seen": (F.lit(True), F.col("s.first_seen"))}  # what is there was seen before
+    half = F.col("fetched_at") < F.lit("2025-06-01").cast("timestamp_ntz")
+    return merge.merge_upsert(seen(d.where(half)), seen(d.where(~F.coalesce(half, F.lit(False)))), ["source_id", "external_id", "raw_hash"], first)
 
 
 def sync_states(spark: SparkSession, sf: str) -> DataFrame:

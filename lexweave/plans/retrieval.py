@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import embedding, quality, search, sections
 from ..session import read
 from .oracle_parts import SPACE, any_of, compare_sql, facts_sql, focus_sql, paragraphs_sql, penalty_sql, quoted
+from .stored import stored_tags, with_stored_facts
 
 TERMS = ["피해자", "피고인", "게임", "카카오톡", "메시지", "url", "sns"]
 AS_OF = "2026-02-01 00:00:00"
@@ -62,7 +63,7 @@ def vector_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fact_tags(spark: SparkSession, sf: str) -> DataFrame:
-    d = _precedents(spark, sf).select("id", R.facts(F.col("source_text"), normalize=False).alias("f"))
+    d = stored_tags(spark, sf).select("id", F.col("facts").alias("f"))
     return d.select("id", *_flat("f"), F.array_join("f.additionalChannels", ",").alias("more"), F.array_join("f.issueTags", ",").alias("tags"))
 
 
@@ -72,12 +73,12 @@ def session_fact_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def issue_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    d = _precedents(spark, sf).select("id", R.compare_facts(_case(), R.facts(F.col("source_text"), normalize=False)).alias("c"))
+    d = stored_tags(spark, sf).select("id", R.compare_facts(_case(), F.col("facts")).alias("c"))
     return d.select("id", F.col("c.factScore").alias("fact_score"), F.col("c.issueScore").alias("issue_score"))
 
 
 def tagged_rank(spark: SparkSession, sf: str) -> DataFrame:
-    c = search.Corpus(_precedents(spark, sf).withColumn("facts", R.facts(F.col("source_text"), normalize=False)), normalize=False)
+    c = search.Corpus(with_stored_facts(_precedents(spark, sf), spark, sf), normalize=False)
     d = c.lexical_candidates(TERMS, _case()).withColumn("comparison", R.compare_facts(_case(), F.col("_f"))).withColumn("focus", R.focus(F.col("case_name"), False))
     return search.rank_tagged(d, 50, 30).select("id", "score", "tag_score", "lexical_score", "focus")
 
@@ -85,7 +86,7 @@ def tagged_rank(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
     v = e.where("vec_id = 7").first()["embedding"]
-    p = _precedents(spark, sf).withColumn("facts", R.facts(F.col("source_text"), normalize=False)).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 500)
+    p = with_stored_facts(_precedents(spark, sf), spark, sf).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 500)
     c = search.Corpus(p.join(e.select("vec_id", "embedding"), "vec_id"), normalize=False, hours=HOURS)
     d = c.vector_candidates(v, F.lit(AS_OF).cast("timestamp_ntz"))
     d = d.withColumn("comparison", R.compare_facts(_case(), F.col("_f"))).withColumn("focus", R.focus(F.col("case_name"), False))
@@ -115,9 +116,9 @@ def hybrid_rank_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The described case with all vectors whose id is divisible by 100; records take any vector of the table."""
     e = read(spark, sf, "embeddings")
     n = e.count()
-    p = _precedents(spark, sf).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % F.lit(n))
+    p = with_stored_facts(_precedents(spark, sf), spark, sf).withColumn("vec_id", F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % F.lit(n))
     c = search.Corpus(p.join(e.select("vec_id", "embedding"), "vec_id"), normalize=False).gated().where(search.fresh(F.lit(AS_OF).cast("timestamp_ntz"), HOURS))
-    c = c.withColumn("comparison", R.compare_facts(_case(), R.with_defaults(R.facts(F.col("source_text"), normalize=False)))).withColumn("focus", R.focus(F.col("case_name"), False))
+    c = c.withColumn("comparison", R.compare_facts(_case(), R.with_defaults(F.col("facts")))).withColumn("focus", R.focus(F.col("case_name"), False))
     c = c.select("id", "decision_date", "embedding", "comparison", "focus").crossJoin(_vector_queries(e)).where(F.size("embedding") == F.size("asked"))
     d = c.withColumn("similarity", embedding.cosine(F.col("embedding"), F.col("asked"))).drop("embedding", "asked").withColumn("s6", F.round("similarity", 6))
     d = _first(d, [F.desc("s6"), F.desc_nulls_last("decision_date"), F.asc("id")])
@@ -127,7 +128,7 @@ def hybrid_rank_batch(spark: SparkSession, sf: str) -> DataFrame:
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions whose id (its first digits as a number) is divisible by 100, against all records."""
     q = read(spark, sf, "intake_sessions").where(F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 100 == 0).select(F.col("id").alias("query_id"), F.col("redacted_text").alias("text")).distinct()
-    c = _precedents(spark, sf).withColumn("facts", R.facts(F.col("source_text"), normalize=False))
+    c = with_stored_facts(_precedents(spark, sf), spark, sf)
     return search.search_batch(c, q, normalize=False).select("query_id", "id", "score", "tag_score")
 
 
@@ -181,7 +182,7 @@ def order_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedding_input_hash(spark: SparkSession, sf: str) -> DataFrame:
     body = embedding.without_outcomes(F.col("source_text"), normalize=False)
-    return _precedents(spark, sf).select("id", X.sha256(embedding.embedding_input(R.facts(F.col("source_text"), normalize=False), body)).alias("input_hash"))
+    return with_stored_facts(_precedents(spark, sf), spark, sf).select("id", X.sha256(embedding.embedding_input(F.col("facts"), body)).alias("input_hash"))
 
 
 def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
