@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import read
 from .charforms import normalized
-from .history import repeated_decisions
+from .history import classes, repeated_decisions
 from .mixing import Mix
 from .packing import pack, piece_texts
 from .splitting import split_oversized
@@ -97,6 +97,33 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each container size: documents and tokens packed, and what must not be: containers above their size, pieces of documents that fit."""
+    limits = spark.createDataFrame([(r["limit_name"], r["max_size"]) for r in _limits(spark, sf_dir, "tokens")], "limit_name string, max_size int")
+    p = p6_containers(spark, sf_dir)
+    full = p.groupBy("limit_name", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(limits), "limit_name")
+    full = full.groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("max_size")).alias("n_overfull"))
+    docs = p.groupBy("limit_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).join(F.broadcast(limits), "limit_name")
+    docs = docs.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_tokens"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("max_size"))).alias("n_needless"))
+    return docs.join(full, "limit_name")
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each listed source with documents: distinct documents there are, and what must not be: uses beyond the cap, slots that two sources share."""
+    m = _mix(spark, sf_dir)
+    rows = m.rows()
+    cap = spark.createDataFrame([(p.source, p.max_repeats, p.rows) for p in m.plan if p.rows > 0], "source string, cap int, n_documents bigint")
+    over = rows.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(cap), "source").groupBy("source").agg(F.count_if(F.col("k") > F.col("cap")).alias("n_over"))
+    shared = rows.groupBy("slot").agg(F.min("source").alias("source"), F.max("source").alias("other")).groupBy("source").agg(F.count_if(F.col("source") != F.col("other")).alias("n_shared"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return cap.join(over, "source", "left").join(shared, "source", "left").select("source", "n_documents", none("n_over"), none("n_shared"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, batch_no and class (its least id) of every record that repeats another or is repeated."""
+    return classes(read(spark, sf_dir, "precedents")).withColumnRenamed("group", "class_id")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page the characters in links, bare key words and stuffed sentences, and their share."""
     return stuffing(read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -109,6 +136,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_normalized": p3_normalized,
     "p5_found": p5_found, "p6_containers": p6_containers, "p6_pieces": p6_pieces, "p6_usage": p6_usage, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
+    "p5_classes": p5_classes, "p6_invariants": p6_invariants, "p7_invariants": p7_invariants,
 }
 
 # The character classes of p3 spelt out, as RE2 has neither tables nor look-around.
@@ -132,6 +160,10 @@ _ODD = " OR ".join(
 )
 
 ORACLE = {
+    "p6_invariants": """
+SELECT limit_name, count(*) AS n_documents, sum(n_tokens) AS n_tokens, 0 AS n_needless, 0 AS n_overfull FROM documents, (SELECT limit_name FROM size_limits WHERE unit = 'tokens') GROUP BY 1""",
+    "p7_invariants": """
+SELECT d.source, count(*) AS n_documents, 0 AS n_over, 0 AS n_shared FROM documents d JOIN mix_targets t ON t.source = d.source GROUP BY 1""",
     "p3_found": f"""
 SELECT DISTINCT table_name, record_id, paragraph_id FROM (
   SELECT 'precedent_paragraphs' AS table_name, precedent_id AS record_id, paragraph_id, body AS t FROM precedent_paragraphs
