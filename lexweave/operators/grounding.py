@@ -144,6 +144,52 @@ def element_mentions(facts: Column) -> Column:
     return F.array(*[F.struct(F.lit(e).alias("id"), mention[e].alias("mention")) for e in ELEMENTS])
 
 
+# Labels and quotes of the statute's elements, and the words for what a description says of them.
+ELEMENT_TEXTS = {
+    "purpose": ("성적 욕망을 유발하거나 만족시킬 목적", "자기 또는 다른 사람의 성적 욕망을 유발하거나 만족시킬 목적으로"),
+    "medium": ("통신매체를 통한 전달", "전화, 우편, 컴퓨터, 그 밖의 통신매체를 통하여"),
+    "expression": ("성적 수치심이나 혐오감을 일으키는 표현", "성적 수치심이나 혐오감을 일으키는 말, 음향, 글, 그림, 영상 또는 물건을"),
+    "reached": ("상대방에게 도달", "상대방에게 도달하게 한"),
+}
+MEDIUM_LABELS = {"bank_transfer": "송금메모", "kakao": "카카오톡", "game_chat": "게임 채팅", "sns_mention": "SNS 멘션", "direct_delivery": "직접 전달", "digital_message": "디지털 메시지"}
+EXPRESSION_LABELS = {"insult_with_sexual_terms": "성적인 비하·욕설 표현", "sexual_text": "성적인 글 표현", "sexual_image": "성적인 이미지"}
+PURPOSE_EVIDENCE = "입력만으로는 알 수 없는 요건입니다. 법원이 여러 사정을 종합해 판단합니다."
+MEDIUM_UNKNOWN, EXPRESSION_UNKNOWN = "입력에서 전달 수단을 확인하지 못했습니다.", "입력에서 성적 표현에 관한 언급을 확인하지 못했습니다."
+REACHED = {"yes": "입력에서 상대방이 내용을 확인했다는 언급을 찾았습니다.", "no": "입력에서 상대방에게 전달되지 않았다는 언급을 찾았습니다.", "": "입력에서 도달 여부를 확인하지 못했습니다."}
+
+
+def mapped_elements(facts: Column) -> Column:
+    """X16. ARRAY of STRUCT<id, label, statuteQuote, mention, evidence>: each element with its definition and what is said of it."""
+
+    def named(c: Column, labels: dict[str, str]) -> Column:
+        table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+        return F.concat(F.lit("입력에서 "), F.coalesce(F.try_element_at(table, c), c), F.lit("을 확인했습니다."))
+
+    def evidence(m: Column) -> Column:
+        i, known = m["id"], m["mention"] == "present"
+        return (
+            F.when(i == "purpose", PURPOSE_EVIDENCE).when(i == "medium", F.when(known, named(facts["medium"], MEDIUM_LABELS)).otherwise(MEDIUM_UNKNOWN))
+            .when(i == "expression", F.when(known, named(facts["expressionType"], EXPRESSION_LABELS)).otherwise(EXPRESSION_UNKNOWN))
+            .otherwise(F.when(known, REACHED["yes"]).when(m["mention"] == "absent", REACHED["no"]).otherwise(REACHED[""]))
+        )
+
+    text = F.create_map(*[x for e, (label, quote) in ELEMENT_TEXTS.items() for x in (F.lit(e), F.struct(F.lit(label).alias("label"), F.lit(quote).alias("quote")))])
+    return F.transform(
+        element_mentions(facts),
+        lambda m: F.struct(m["id"].alias("id"), F.try_element_at(text, m["id"])["label"].alias("label"), F.try_element_at(text, m["id"])["quote"].alias("statuteQuote"), m["mention"].alias("mention"), evidence(m).alias("evidence")),
+    )
+
+
+def analysis_schema(case_numbers: list[str], elements: list[str] = ELEMENTS) -> dict:
+    """U3. The JSON schema an adapter's answer has to follow: ids are given, so no other can come back."""
+    text = lambda n: {"type": "string", "minLength": 1, "maxLength": n}
+    many = lambda items, n: {"type": "array", "maxItems": n, "items": items}
+    named = lambda key, kind: {"type": "object", "additionalProperties": False, "required": [key, "text"], "properties": {key: kind, "text": text(400)}}
+    case = {"type": "string", "enum": list(case_numbers)} if case_numbers else {"type": "string"}
+    parts = {"overview": many(text(400), 4), "elementNotes": many(named("id", {"type": "string", "enum": list(elements)}), 4), "precedentNotes": many(named("caseNumber", case), 6), "nextSteps": many(text(200), 5)}
+    return {"type": "object", "additionalProperties": False, "required": list(parts), "properties": parts}
+
+
 def unknown_citations(summaries: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """V4, J8. (precedent_id, paragraph_id) cited, with repeats, but not there."""
     cited = summaries.select("precedent_id", F.explode("sentences").alias("s")).select("precedent_id", F.explode("s.paragraph_ids").alias("paragraph_id"))

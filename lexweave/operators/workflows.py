@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.rules import KOREAN, TARGET, facts, focus, is_target_case
 from ..functions.text import sha256, stable_id
 from .embedding import extractive_summary
-from .grounding import validate_summary
+from .grounding import analysis_schema, validate_analysis, validate_summary
 from .merge import current_runs, existing_matches, merge_upsert, publish, published, rotate_primary, run_row, state_counts, upsert_records
 from .search import SUMMARY_VERSION
 from .sections import select_relevant
@@ -122,6 +122,40 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count(F.lit(1)).alias("selected"), *[F.count_if(F.col("state") == s).alias(s) for s in ("generated", "skipped", "failed")])
 
 
+# --- analyses ---------------------------------------------------------------------------------------------------------
+
+
+class Analyst(Protocol):
+    """U3. An adapter: a document (``grounding.analysis_input``) and the schema of the answer, to the answer's JSON text."""
+
+    def analyze(self, document: str, schema: dict) -> str: ...
+
+
+def analyses(requests: DataFrame, analyst: Analyst, *, allow_external: bool = False) -> DataFrame:
+    """id, analysis (V2) and error_code of each request (id, document, case_numbers ARRAY).
+
+    A request without consent has no business here: adapters are asked only with ``allow_external``. One that fails, or
+    answers with no JSON object, leaves an error on its row; whatever it says is judged by V2 against the given numbers.
+    """
+    if not allow_external:
+        raise PermissionError("EXTERNAL_ADAPTER_NOT_ALLOWED")
+    schema = T.StructType([T.StructField("payload", T.StringType()), T.StructField("error_code", T.StringType())])
+
+    def run(documents: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d, n in zip(documents, numbers):
+            try:
+                rows.append((analyst.analyze(d, analysis_schema([] if n is None else list(n))), None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((None, getattr(e, "code", "ANALYSIS_API_UNAVAILABLE")))
+        return pd.DataFrame(rows, columns=["payload", "error_code"])
+
+    d = requests.select("id", "case_numbers", F.pandas_udf(run, schema)("document", "case_numbers").alias("a"))
+    v = d.select("id", F.col("a.error_code").alias("_e"), validate_analysis(F.col("a.payload"), F.coalesce("case_numbers", F.array().cast("array<string>"))).alias("v"))
+    error = F.coalesce("_e", F.when(F.array_contains("v.dropped", "payload"), "ANALYSIS_RESPONSE_INVALID"))
+    return v.select("id", F.when(error.isNull(), F.col("v")).alias("analysis"), error.alias("error_code"))
+
+
 # --- sync -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import grounding, merge, quality, search, workflows
+from ..operators import embedding, grounding, merge, quality, search, verify, workflows
 from ..schema import ORDER_KINDS
-from ..session import read
+from ..session import read, stage_path
 from ..sources import payloads
-from .oracle_parts import SPACE, facts_sql, focus_sql, quoted
+from ..sources.links import probe
+from ..sources.paged import FetchError, PagedSource, lookup
+from ..streaming.sessions import upsert_batches
+from .oracle_parts import SPACE, compare_sql, facts_sql, focus_sql, quoted
 from .records import _BATCH, _OFFICIAL, _batches, _rights
 from .retrieval import _picked
 from .stored import stored_tags, with_stored_facts
@@ -259,9 +266,178 @@ def curated_violations(spark: SparkSession, sf: str) -> DataFrame:
     return quality.static_violations(d).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def element_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """X16. What every session says of each element, with its definition."""
+    names = {"medium": "medium", "reachedRecipient": "reached_recipient", "expressionType": "expression_type"}
+    f = F.struct(*[F.col(f"facts.{v}").alias(k) for k, v in names.items()])
+    d = read(spark, sf, "intake_sessions").select("id", F.explode(grounding.mapped_elements(f)).alias("e")).distinct()
+    return d.select("id", F.col("e.id").alias("element"), "e.mention", "e.evidence", F.length("e.statuteQuote").cast("bigint").alias("n"))
+
+
+class _Analyst:
+    """A stand-in for a model: it fails, answers with nonsense, or cites what it was given and what it was not."""
+
+    def analyze(self, document: str, schema: dict) -> str:
+        cases = schema["properties"]["precedentNotes"]["items"]["properties"]["caseNumber"].get("enum", [])
+        kind = len(json.loads(document)["description"]) % 4
+        if kind == 0:
+            raise RuntimeError("down")
+        if kind == 1:
+            return "[]"
+        return json.dumps({"overview": ["기록을 견주었다."], "precedentNotes": [{"caseNumber": c, "text": "법원이 살폈다."} for c in [*cases, "없는 번호"]]})
+
+
+def adapter_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """U3, U4, V2. Every record's case as a request to an adapter."""
+    p = read(spark, sf, "precedents").select("id", F.coalesce("court", F.lit("")).alias("court"), F.array_compact(F.array("case_number")).alias("case_numbers"))
+    row = F.struct(F.lit("x").alias("caseNumber"))
+    d = p.select("id", "case_numbers", grounding.analysis_input(F.lit("13"), F.array(F.lit("purpose")), F.col("court"), F.array(row)).alias("document"))
+    a = workflows.analyses(d, _Analyst(), allow_external=True)
+    return a.select("id", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce(F.size("analysis.precedentNotes"), F.lit(0)).cast("bigint").alias("n_notes"), F.coalesce(F.size("analysis.dropped"), F.lit(0)).cast("bigint").alias("n_dropped"))
+
+
+def paged_list(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC1, SRC8. The nations as a provider's pages in the shared folder, read by the data source."""
+    root = stage_path(spark, "pages")
+    rows = [r["n_name"] for r in read(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows, as many as there are nations
+    path, fs = merge._files(spark, root)
+    for n in range(-(-len(rows) // 10)):
+        out = fs.create(path(f"{root}/page-{n + 1}.json"), True)
+        out.write(bytearray(json.dumps({"PrecSearch": {"totalCnt": len(rows), "prec": [{"사건명": x} for x in rows[n * 10 : n * 10 + 10]]}}).encode()))
+        out.close()
+    spark.dataSource.register(PagedSource)
+    d = spark.read.format("paged_records").option("root", root).load()
+    return d.select("page", F.get_json_object("payload", "$.사건명").alias("n_name"))
+
+
+def _detail(record_id: str) -> str:
+    if record_id.endswith("7"):
+        raise FetchError("HTTP_404", terminal=True)
+    return json.dumps({"PrecService": {"판례정보일련번호": record_id, "법원명": "법원 " + record_id[-2:]}}, ensure_ascii=False)
+
+
+def looked_up_details(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC2. The detail of each listed record by id."""
+    p = read(spark, sf, "precedents").select(F.trim("provider_record_id").alias("provider_record_id")).where("provider_record_id <> ''")
+    got = lookup(p, "provider_record_id", _detail).withColumnRenamed("provider_record_id", "asked")
+    d = payloads.parse_detail(got, "payload", F.col("asked"))
+    return d.select("asked", F.coalesce("error_code", F.lit("")).alias("error_code"), "court")
+
+
+def _answer(method: str, url: str, headers: dict) -> tuple[int, str]:
+    kind = len(url) % 5
+    if kind == 0:
+        raise OSError
+    if kind == 1:
+        return 302, "https://elsewhere.example/"
+    return (405 if method == "HEAD" and kind == 2 else 206 if headers else 200), url
+
+
+def link_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC11. Every distinct address, by a client that refuses HEAD, fails or leads away for some."""
+    hosts = {f"cases.{x}.example" for x in ("law-open-data", "court-archive", "bar-digest", "case-commons")}
+    return probe(read(spark, sf, "precedents"), "official_url", _answer, hosts)
+
+
+def rights_records(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC15. A record of rights for each source."""
+    names = [r["provider"] for r in read(spark, sf, "data_sources").select("provider").collect()]  # a configuration table
+    rows = [verify.rights_record(spark, n, f"https://{n}.example/terms", approved=True, key="k", reviewed_at=dt.datetime(2026, 1, 2)) for n in names]
+    d = reduce(DataFrame.unionByName, rows)
+    return d.select("provider", "summary_allowed", "redistribution_allowed", "terms_version")
+
+
+def published_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """DML11. Two versions published one after the other: the last one counts, with all of its tables."""
+    root = stage_path(spark, "published")
+    c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
+    merge.publish(spark, {"c": c.limit(0), "n": n}, root, "v1")
+    merge.publish(spark, {"c": c, "n": n}, root, "v2")
+    t = merge.published(spark, root, ["c", "n"])
+    return t["c"].join(t["n"], F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_report(spark: SparkSession, sf: str) -> DataFrame:
+    """DML13. A report as JSON."""
+    d = read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").cast("date").cast("string").alias("last"))
+    return d.select("o_orderstatus", F.to_json(F.struct("n", "last")).alias("report"))
+
+
+DESCRIPTION = "카카오톡 메시지로 성적인 사진을 보냈다"
+# The facts of DESCRIPTION, as ``facts`` gives them.
+DESCRIBED = {
+    "medium": "kakao", "messageForm": "image", "recipientIdentification": "direct_account", "reachedRecipient": "yes", "relationship": "unknown", "context": "unknown",
+    "expressionType": "sexual_image", "repetition": "unknown", "issueTags": ["통신매체", "도달", "성적표현"],
+}
+
+
+def static_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """R21, T5. Records of the first batch as a curated table, ranked for one description."""
+    p = with_stored_facts(read(spark, sf, "precedents").where("batch_no = 0").select("id", "court"), spark, sf)
+    d = p.select("id", F.col("id").alias("ordinal"), "facts", F.array(F.when(F.col("id") < "8", "카카오톡").otherwise("게임"), F.lit("사진")).alias("keywords"), F.col("facts.issueTags").alias("issue_tags"))
+    return quality.static_rank(d, F.lit(DESCRIPTION), 20, 50)
+
+
+def search_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """R15, F6. The path each search takes: without vectors, with an adapter that fails, without candidates, out of scope."""
+
+    class Down:
+        def embed(self, texts):
+            raise FetchError("EMBEDDING_DOWN")
+
+    p = with_stored_facts(read(spark, sf, "precedents").withColumn("embedding", F.lit(None).cast("array<float>")), spark, sf)
+    c, now = search.Corpus(p, normalize=False), F.lit(AS_OF).cast("timestamp_ntz")
+    asked = [("lexical", DESCRIPTION, None), ("down", DESCRIPTION, Down()), ("empty", DESCRIPTION, embedding.HashingEmbedder(64)), ("outside", "날씨가 맑은 산책", None)]
+    rows = [(name, r.mode, r.fallback_code or "", r.available is not None) for name, q, e in asked for r in [c.search(q, now, e)]]
+    return spark.createDataFrame(rows, "name string, mode string, fallback_code string, has_count boolean")
+
+
+def full_width_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """S1. Addresses in full-width letters come back as they were."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
+    return read(spark, sf, "documents").where("url IS NOT NULL").select("doc_id", X.nfkc(F.translate("url", plain, wide)).alias("url"))
+
+
+def full_width_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """X1. Tags of words in full-width letters and combining forms."""
+    words = F.when(F.col("event_type") == "click", "ＳＮＳ 멘션").when(F.col("event_type") == "view", "카카오톡").otherwise("ｘ")
+    return read(spark, sf, "events").select("event_type", R.facts(words)["medium"].alias("medium")).groupBy("event_type", "medium").agg(F.count(F.lit(1)).alias("n"))
+
+
+def streamed_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """ST5. Events as a stream worked into a table of users by micro-batch: the last event of each stays."""
+    root = stage_path(spark, "streamed")
+    e = read(spark, sf, "events").select("event_id", "user_id", "event_type")
+    versions: list[str] = []
+
+    def load() -> DataFrame:
+        return spark.read.parquet(versions[-1]) if versions else e.limit(0)
+
+    def store(table: DataFrame, number: int) -> None:
+        at = f"{root}/{number}"
+        table.write.mode("overwrite").parquet(at)
+        versions.append(at)
+
+    path, fs = merge._files(spark, sf)
+    source = spark.readStream.schema(read(spark, sf, "events").schema)
+    whole = fs.getFileStatus(path(f"{sf}/events.parquet")).isDirectory()
+    stream = (source.parquet(f"{sf}/events.parquet") if whole else source.option("pathGlobFilter", "events.parquet").parquet(sf)).select(*e.columns)
+    upsert_batches(stream, load, store, ["user_id"], "event_id").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return load().select("user_id", "event_id", "event_type")
+
+
+def stale_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """F13. Vectors of another model, input or source."""
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding", F.lit("m").alias("source_hash"), F.col("label").cast("string").alias("input_hash"), F.when(F.col("vec_id") % 3 > 0, "a").otherwise("b").alias("embedding_model"))
+    e = e.withColumns({"embedding_input_hash": F.when(F.col("vec_id") % 5 > 0, F.col("input_hash")), "embedding_source_hash": F.when(F.col("vec_id") % 7 > 0, "m").otherwise("n")})
+    return embedding.stale(e, "a").select("vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     malformed_analyses, client_analyses, malformed_summaries, neutral_texts, analysis_inputs, tag_backfill, tagged_dispositions, summary_backfill, sync_summary, synced_records, synced_sources, overwritten_summaries,
     run_log, article_parameters, list_records, statute_records, body_states, stable_ids, clamped_limits, shown_orders, mapped_results, gated_counts, shown_facts, model_rollup, curated_violations,
+    element_evidence, adapter_analyses, paged_list, looked_up_details, link_probes, rights_records, published_tables, json_report, static_ranks, search_modes, full_width_texts, full_width_facts, streamed_upserts, stale_embeddings,
 )}
 
 _TRIM = lambda c: f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -318,6 +494,7 @@ _SUMMARY_EXPECTED = f"""
   short AS (SELECT precedent_id, body, row_number() OVER (PARTITION BY precedent_id ORDER BY ordinal, paragraph_id, body) AS k FROM picked WHERE body <> '' AND length(body) <= 500),
   made AS (SELECT i.precedent_id AS id, count(s.body) AS n, bool_or({_PREDICTED('s.body')}) AS bad FROM (SELECT DISTINCT precedent_id FROM picked) i LEFT JOIN short s ON s.precedent_id = i.precedent_id AND s.k <= 3 GROUP BY 1),
   out AS (SELECT sel.id, skip, n, CASE WHEN skip THEN '' WHEN n IS NULL THEN 'SUMMARY_INPUT_REQUIRED' WHEN n = 0 THEN 'SENTENCE_COUNT' WHEN bad THEN 'NOT_NEUTRAL' ELSE '' END AS error_code FROM sel LEFT JOIN made ON made.id = sel.id)"""
+_LABEL = lambda c, labels: "CASE " + c + " " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in labels.items()) + f" ELSE {c} END"
 _CURATED = ["id", "provider_record_id", "court", "case_number", "case_name", "decision_date", "official_url", "verified_at"]
 
 ORACLE = {
@@ -377,4 +554,27 @@ ORACLE = {
         + ["SELECT 'not-verified' FROM precedents WHERE batch_no = 0 AND NOT coalesce(searchable, false)", "SELECT 'untrusted-url' FROM precedents WHERE batch_no = 0",
            "SELECT 'missing-source-anchor' FROM precedents WHERE batch_no = 0 AND id <= '8'",
            "SELECT 'duplicate' FROM (SELECT unnest(range(count(*) - 1)) FROM precedents WHERE batch_no = 0 GROUP BY court, case_number, decision_date)"]) + ") GROUP BY 1",
+    "element_evidence": f"""SELECT DISTINCT id, e.k AS element, e.m AS mention, e.v AS evidence, e.n::BIGINT AS n FROM (SELECT id, unnest([
+      {{'k': 'purpose', 'm': 'unclear', 'v': {quoted(grounding.PURPOSE_EVIDENCE)}, 'n': {len(grounding.ELEMENT_TEXTS['purpose'][1])}}},
+      {{'k': 'medium', 'm': CASE WHEN m IS NULL THEN 'unclear' ELSE 'present' END, 'v': CASE WHEN m IS NULL THEN {quoted(grounding.MEDIUM_UNKNOWN)} ELSE '입력에서 ' || {_LABEL('m', grounding.MEDIUM_LABELS)} || '을 확인했습니다.' END, 'n': {len(grounding.ELEMENT_TEXTS['medium'][1])}}},
+      {{'k': 'expression', 'm': CASE WHEN x IS NULL THEN 'unclear' ELSE 'present' END, 'v': CASE WHEN x IS NULL THEN {quoted(grounding.EXPRESSION_UNKNOWN)} ELSE '입력에서 ' || {_LABEL('x', grounding.EXPRESSION_LABELS)} || '을 확인했습니다.' END, 'n': {len(grounding.ELEMENT_TEXTS['expression'][1])}}},
+      {{'k': 'reached', 'm': CASE r WHEN 'yes' THEN 'present' WHEN 'no' THEN 'absent' ELSE 'unclear' END, 'v': CASE r WHEN 'yes' THEN {quoted(grounding.REACHED['yes'])} WHEN 'no' THEN {quoted(grounding.REACHED['no'])} ELSE {quoted(grounding.REACHED[''])} END, 'n': {len(grounding.ELEMENT_TEXTS['reached'][1])}}}]) AS e
+      FROM (SELECT id, CASE WHEN coalesce(facts.medium, '') NOT IN ('', 'unknown') THEN facts.medium END AS m, CASE WHEN coalesce(facts.expression_type, '') NOT IN ('', 'other') THEN facts.expression_type END AS x, coalesce(facts.reached_recipient, '') AS r FROM intake_sessions))""",
+    "adapter_analyses": """SELECT id, CASE k WHEN 0 THEN 'ANALYSIS_API_UNAVAILABLE' WHEN 1 THEN 'ANALYSIS_RESPONSE_INVALID' ELSE '' END AS error_code, CASE WHEN k > 1 AND case_number IS NOT NULL THEN 1 ELSE 0 END AS n_notes, CASE WHEN k > 1 THEN 1 ELSE 0 END AS n_dropped
+      FROM (SELECT id, case_number, length(coalesce(court, '')) % 4 AS k FROM precedents)""",
+    "paged_list": "SELECT 1 + n_nationkey // 10 AS page, n_name FROM nation",
+    "looked_up_details": "SELECT DISTINCT r AS asked, CASE WHEN r LIKE '%7' THEN 'HTTP_404' ELSE '' END AS error_code, CASE WHEN r LIKE '%7' THEN '' ELSE trim('법원 ' || right(r, 2)) END AS court FROM (SELECT trim(provider_record_id) AS r FROM precedents) WHERE r <> ''",
+    "link_probes": f"""SELECT DISTINCT official_url, CASE WHEN NOT coalesce({_OFFICIAL}, false) THEN 0 WHEN length(official_url) % 5 < 2 THEN 0 WHEN length(official_url) % 5 = 2 THEN 206 ELSE 200 END AS link_status FROM precedents WHERE official_url IS NOT NULL""",
+    "rights_records": "SELECT provider, true AS summary_allowed, false AS redistribution_allowed, 'reviewed-2026-01-02' AS terms_version FROM data_sources",
+    "published_tables": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "json_report": """SELECT o_orderstatus, '{"n":' || count(*) || ',"last":"' || max(o_orderdate)::DATE::VARCHAR || '"}' AS report FROM orders GROUP BY 1""",
+    "static_ranks": f"""SELECT id, semantic, fact_score, issue_score, total FROM (SELECT *, floor(semantic * 0.45 + fact_score * 0.45 + issue_score * 0.1 + 0.5)::BIGINT AS total FROM (
+      SELECT id, least(100, (CASE WHEN id < '8' THEN 2 ELSE 1 END) * 14 + CASE WHEN medium = 'kakao' THEN 26 ELSE 0 END + CASE WHEN expression = 'sexual_image' THEN 18 ELSE 0 END) AS semantic, {compare_sql(DESCRIBED)[0]} AS fact_score, {compare_sql(DESCRIBED)[1]} AS issue_score
+      FROM ({facts_sql('SELECT id, source_text AS txt FROM precedents WHERE batch_no = 0')}))) ORDER BY total DESC, id LIMIT 50""",
+    "search_modes": """SELECT 'lexical' AS name, 'provisional_without_embeddings' AS mode, '' AS fallback_code, true AS has_count UNION ALL SELECT 'down', 'fallback_without_embeddings', 'EMBEDDING_DOWN', true
+      UNION ALL SELECT 'empty', 'fallback_without_embeddings', 'NO_EMBEDDED_CANDIDATES', true UNION ALL SELECT 'outside', 'query_out_of_scope', '', false""",
+    "full_width_texts": "SELECT doc_id, url FROM documents WHERE url IS NOT NULL",
+    "full_width_facts": "SELECT event_type, CASE event_type WHEN 'click' THEN 'sns_mention' WHEN 'view' THEN 'kakao' ELSE 'unknown' END AS medium, count(*) AS n FROM events GROUP BY 1, 2",
+    "streamed_upserts": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+    "stale_embeddings": "SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 5 = 0 OR vec_id % 7 = 0 OR embedding IS NULL",
 }

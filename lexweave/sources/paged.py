@@ -1,17 +1,23 @@
 """A paged provider as a Spark data source (SRC1, SRC2, SRC8): pages are partitions, fetched in the tasks.
 
-``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged_records").option("root", dir)`` reads pages
-page-1.json, page-2.json ... of a folder that all executors share; ``walk`` serves callers with a client of their own.
+``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged_records")`` with option ``url`` (with {page} and {size})
+asks a service, with the retries of ``fetch``; with option ``root`` it reads pages page-1.json, page-2.json ... of a folder
+that all executors share. ``walk`` serves callers with a client of their own, ``lookup`` reads details by id.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE_SIZE = 100
@@ -72,27 +78,76 @@ def walk(read_page: Callable[[int, int], tuple[list, int]], limit: int, page_siz
     return out[:limit]
 
 
+def http_get(url: str, timeout: float = 10.0) -> Callable[[], tuple[int, str, dict]]:
+    """A plain client for ``fetch``: answers of every status come back as they are, network faults as OSError."""
+
+    def get() -> tuple[int, str, dict]:
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
+                return r.status, r.read().decode("utf-8", "replace"), dict(r.headers)
+        except urllib.error.HTTPError as e:
+            return e.code, "", dict(e.headers)
+
+    return get
+
+
 class _Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, number: int, at: str):
+        self.number, self.at = number, at
 
 
 class _Reader(DataSourceReader):
+    """Pages of a service (``url`` with {page} and {size}) or of a shared folder (``root``, any URI pyarrow knows)."""
+
     def __init__(self, options: dict):
-        self.root = options["root"]
+        self.url, self.root = options.get("url"), options.get("root")
+        if bool(self.url) == bool(self.root):
+            raise ValueError("give url or root")
+        self.size = min(PAGE_SIZE, max(1, int(options.get("page_size", PAGE_SIZE))))
+        self.limit = int(options.get("limit", 0))
+        self.base, self.retries = float(options.get("wait", 0.5)), int(options.get("retries", 3))
+
+    def _body(self, at: str) -> str:
+        sleep = lambda s: time.sleep(s * self.base / 0.5)
+        if self.url:
+            return fetch(http_get(at), self.retries, sleep)
+
+        def get() -> tuple[int, str, dict]:
+            fs, path = _files(at)
+            with fs.open_input_stream(path) as f:
+                return 200, f.read().decode("utf-8"), {}
+
+        return fetch(get, self.retries, sleep)
 
     def partitions(self) -> list[_Page]:
-        return [_Page(str(p)) for p in sorted(Path(self.root).glob("page-*.json"), key=lambda p: int(p.stem.split("-")[1]))]
+        if self.root:
+            fs, path = _files(self.root)
+            names = [i.path.rsplit("/", 1)[1] for i in fs.get_file_info(FileSelector(path)) if i.is_file]
+            found = sorted(int(m.group(1)) for m in (re.fullmatch(r"page-(\d+)\.json", n) for n in names) if m)
+            return [_Page(n, f"{self.root.rstrip('/')}/page-{n}.json") for n in found]
+        # the first page tells how many there are; it is read once more by its task
+        first = json.loads(self._body(self.url.format(page=1, size=self.size)))
+        total = int((first.get("PrecSearch") or {}).get("totalCnt") or 0)
+        total = min(total, self.limit) if self.limit else total
+        return [_Page(n, self.url.format(page=n, size=self.size)) for n in range(1, -(-total // self.size) + 1)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        number = int(Path(partition.path).stem.split("-")[1])
-        body = fetch(lambda: (200, Path(partition.path).read_text(encoding="utf-8"), {}))
-        found = (json.loads(body).get("PrecSearch") or {}).get("prec") or []
-        for row in found if isinstance(found, list) else [found]:
-            yield number, json.dumps(row, ensure_ascii=False)
+        found = (json.loads(self._body(partition.at)).get("PrecSearch") or {}).get("prec") or []
+        rows = found if isinstance(found, list) else [found]
+        if self.limit and self.url:
+            rows = rows[: max(0, self.limit - (partition.number - 1) * self.size)]
+        for row in rows:
+            yield partition.number, json.dumps(row, ensure_ascii=False)
+
+
+def _files(uri: str) -> tuple[FileSystem, str]:
+    """A folder or file that all executors share: file://, hdfs://, s3:// or gs://; a plain path counts as shared."""
+    return FileSystem.from_uri(uri) if "://" in uri else (LocalFileSystem(), uri)
 
 
 class PagedSource(DataSource):
+    """``page INT, payload STRING`` of each listed record; a page that can't be had fails the read with its code."""
+
     @classmethod
     def name(cls) -> str:
         return "paged_records"
@@ -102,3 +157,19 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def lookup(ids: DataFrame, key: str, get_detail: Callable[[str], str]) -> DataFrame:
+    """SRC2. key, payload and error_code of each distinct id: one call of the client in a task, one failure an error on its row."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i in b[key]:
+                try:
+                    rows.append((i, get_detail(i), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((i, None, getattr(e, "code", "FETCH_FAILED")))
+            yield pd.DataFrame(rows, columns=[key, "payload", "error_code"])
+
+    return ids.select(key).where(ids[key].isNotNull()).distinct().mapInPandas(run, f"{key} string, payload string, error_code string")

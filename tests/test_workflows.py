@@ -120,3 +120,53 @@ def test_no_machine_local_folder_on_a_cluster():
         session.shared_dir(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///x"
     assert session.shared_dir(Session()) == "hdfs:///x"
+
+
+def test_paged_source_asks_a_service_again(spark):
+    """A service that is busy at first, lists its records in pages, and fails for good where it says so."""
+    import http.server
+    import threading
+
+    from lexweave.sources.paged import PagedSource
+
+    seen: dict[str, int] = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            n = seen[self.path] = seen.get(self.path, 0) + 1
+            page = int(self.path.split("page=")[1].split("&")[0]) if "page=" in self.path else 0
+            status = 404 if self.path.startswith("/gone") else 503 if n == 1 else 200
+            body = "" if n == 2 else json.dumps({"PrecSearch": {"totalCnt": "23", "prec": [{"n": (page - 1) * 10 + i} for i in range(10 if page < 3 else 3)]}})
+            self.send_response(status)
+            self.send_header("Retry-After", "0.01")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        spark.dataSource.register(PagedSource)
+        load = lambda path, **o: spark.read.format("paged_records").options(url=at + path + "?page={page}&size={size}", page_size="10", wait="0.01", **o).load()
+        got = sorted(json.loads(r.payload)["n"] for r in load("/list").collect())
+        assert got == list(range(23)) and min(seen.values()) >= 3
+        assert load("/few", limit="12").count() == 12
+        with pytest.raises(Exception, match="HTTP_404"):
+            load("/gone").collect()
+    finally:
+        server.shutdown()
+
+
+def test_lookups_fail_one_by_one(spark):
+    from lexweave.sources.paged import FetchError, lookup
+
+    def get(i):
+        if i == "b":
+            raise FetchError("HTTP_404", terminal=True)
+        return "{}"
+
+    got = lookup(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string"), "id", get).collect()
+    assert {(r.id, r.payload, r.error_code) for r in got} == {("a", "{}", None), ("b", None, "HTTP_404")} and len(got) == 2
