@@ -170,6 +170,16 @@ def _locate(sorted_rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.searchsorted(k, w)
 
 
+def _combined(batches):
+    """Of each batch the last row of a key and snapshot: a key repeated without bound crosses the network once a batch."""
+    for b in batches:
+        snap, k1, k2, ts, h = (b.column(n).to_numpy(zero_copy_only=False) for n in ("_snap", "_k1", "_k2", "_ts", "_h"))
+        order = np.lexsort((h, ts, k2, k1, snap))
+        same = [x[order][1:] == x[order][:-1] for x in (snap, k1, k2)]
+        last = np.append(~(same[0] & same[1] & same[2]), True) if len(order) else np.zeros(0, bool)
+        yield b if last.all() else b.take(pa.array(np.sort(order[last])))
+
+
 def snapshot_changes(
     df: DataFrame, *, snapshot: str, keys: list[str], digest: str, order: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
@@ -197,10 +207,11 @@ def snapshot_changes(
         F.xxhash64(F.col(digest).isNull(), canonical_hex(F.col(digest).cast("string"))).alias("_h"),
         F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62))).alias("_ts"),
     )
-    # the last row of a key and snapshot, combined before the shuffle: a key repeated without bound stays one row a task
-    slim = slim.groupBy("_snap", *names).agg(F.max(F.struct("_ts", "_h")).alias("_v")).select("_snap", *names, "_v.*")
     slim = slim.withColumn("_b", F.pmod(F.xxhash64(F.lit(0), *parts), F.lit(buckets)).cast("int"))
     slim = slim.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *parts)})
+    slim = slim.mapInArrow(_combined, ", ".join(f"{n} {t}" for n, t in slim.dtypes))
+    # one exchange, by bucket: the last row of a key and snapshot and the bucket's tables are both found where it puts them
+    slim = slim.repartition("_b").groupBy("_b", "_snap", *names, "_k1", "_k2").agg(F.max(F.struct("_ts", "_h")).alias("_v")).select("_b", "_snap", *names, "_k1", "_k2", "_v.*")
     fields = [("snapshot_no", pa.int32()), *((n, pa.string()) for n in names), ("change_kind", pa.string())]
     ddl = ", ".join(f"{n} {'int' if t == pa.int32() else 'string'}" for n, t in fields)
     return slim.drop("_ts").groupBy("_b").applyInArrow(_bucket_changes(names, numbers, pa.schema(fields)), ddl)
