@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
+SMALL = 100_000  # rows of a side that is broadcast, by its count
+
 
 @dataclass(frozen=True)
 class References:
     """References of one table. ``rows`` has the columns ref_table, own_1, own_2 (the row's own key), target, k1, k2
-    (the referenced key; k2 is '' where the key has one part) and written_at."""
+    (the referenced key; k2 is '' where the key has one part) and written_at; ``target`` is the table it leads to."""
 
     rows: DataFrame
+    target: str
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ def references(df: DataFrame, ref_table: str, own: tuple[Column, Column], target
         F.lit(target).alias("target"), k1.alias("k1"), k2.alias("k2"), F.col(written_at).alias("written_at"),
     )
     real = (F.col("k1") != "") if key[1] is None else (F.col("k1") != "") & (F.col("k2") != "")
-    return References(out.where(real))
+    return References(out.where(real), target)
 
 
 def targets(df: DataFrame, target: str, key: tuple[Column, Column | None], arrived_at: str) -> Targets:
@@ -48,6 +51,11 @@ def targets(df: DataFrame, target: str, key: tuple[Column, Column | None], arriv
     return Targets(df.select(F.lit(target).alias("target"), key[0].cast("string").alias("k1"), k2.alias("k2"), F.col(arrived_at).alias("arrived_at")))
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """Broadcast only what has been counted and is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 class OrphanCascade:
     """Direct and inherited orphans of a foreign-key graph.
 
@@ -59,15 +67,7 @@ class OrphanCascade:
 
     def __init__(self, refs: list[References], tgts: list[Targets]):
         union = lambda xs: reduce(DataFrame.unionByName, [x.rows for x in xs])
-        self._refs, self._raw_targets, self._kept = union(refs), union(tgts), None
-
-    def _edges(self) -> DataFrame:
-        """The references, once a month and referring record, written once: rounds and report read them again."""
-        if self._kept is None:
-            month = F.date_format("written_at", "yyyy-MM").alias("_month")
-            keys = ["ref_table", "own_1", "own_2", "target", "k1", "k2"]
-            self._kept = durable(self._refs.groupBy(*keys, month).agg(F.min("written_at").alias("written_at")).drop("_month"))
-        return self._kept
+        self._refs, self._raw_targets, self._parents = union(refs), union(tgts), sorted({r.target for r in refs})
 
     def _arrivals(self) -> DataFrame:
         return self._raw_targets.where(F.col("k1").isNotNull() & F.col("k2").isNotNull()).groupBy("target", "k1", "k2").agg(
@@ -77,7 +77,7 @@ class OrphanCascade:
     def _judged(self, *extra: Column) -> DataFrame:
         """One row per reference (and ``extra``) with ``direct``: the earliest referring row decides."""
         names = ["ref_table", "target", "k1", "k2"]
-        once = (self._refs if self._kept is None else self._kept).groupBy(*names, *extra).agg(F.min("written_at").alias("written_at"))
+        once = self._refs.groupBy(*names, *extra).agg(F.min("written_at").alias("written_at"))
         late = F.coalesce(F.col("arrived_at") > F.col("written_at"), F.lit(False))
         return once.join(self._arrivals(), ["target", "k1", "k2"], "left").withColumn("direct", F.col("there").isNull() | late)
 
@@ -88,17 +88,16 @@ class OrphanCascade:
     def orphan_records(self) -> DataFrame:
         """The fixpoint: (target, k1, k2) of each record with an orphan reference, and its round (0 = direct)."""
         own = lambda df: df.select(F.col("ref_table").alias("target"), F.col("own_1").alias("k1"), F.coalesce("own_2", F.lit("")).alias("k2")).where(F.col("k1").isNotNull()).distinct()
-        edges = self._edges()
-        parents = [r[0] for r in edges.select("target").distinct().collect()]  # table names: as many as the graph has tables
-        bad = self.direct()
-        frontier = durable(own(edges.join(bad, ["ref_table", "target", "k1", "k2"], "left_semi")).withColumn("round", F.lit(0)))
+        edges = self._refs.select("ref_table", "own_1", "own_2", "target", "k1", "k2")
+        bad = durable(self.direct())
+        frontier = durable(own(edges.join(_sized(bad), ["ref_table", "target", "k1", "k2"], "left_semi")).withColumn("round", F.lit(0)))
         every, n = frontier, 0
         while True:
-            passing = frontier.where(F.col("target").isin(parents))  # records nobody refers to can't pass anything on
+            passing = frontier.where(F.col("target").isin(self._parents))  # records nobody refers to can't pass anything on
             if passing.isEmpty():
                 return every
             n += 1
-            children = own(edges.join(passing.select("target", "k1", "k2"), ["target", "k1", "k2"], "left_semi"))
+            children = own(edges.join(_sized(passing.select("target", "k1", "k2")), ["target", "k1", "k2"], "left_semi"))
             frontier = durable(children.join(every, ["target", "k1", "k2"], "left_anti").withColumn("round", F.lit(n)))
             every = every.unionByName(frontier)
 
