@@ -24,7 +24,7 @@ class References:
     (the referenced key; k2 is '' where the key has one part) and written_at; ``target`` is the table it leads to."""
 
     rows: DataFrame
-    target: str
+    target: str | None = None  # None: read from the rows
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ class OrphanCascade:
 
     def __init__(self, refs: list[References], tgts: list[Targets]):
         union = lambda xs: reduce(DataFrame.unionByName, [x.rows for x in xs])
-        self._refs, self._raw_targets, self._parents = union(refs), union(tgts), sorted({r.target for r in refs})
+        self._refs, self._raw_targets, self._parents = union(refs), union(tgts), [r.target for r in refs]
 
     def _arrivals(self) -> DataFrame:
         return self._raw_targets.where(F.col("k1").isNotNull() & F.col("k2").isNotNull()).groupBy("target", "k1", "k2").agg(
@@ -88,12 +88,13 @@ class OrphanCascade:
     def orphan_records(self) -> DataFrame:
         """The fixpoint: (target, k1, k2) of each record with an orphan reference, and its round (0 = direct)."""
         own = lambda df: df.select(F.col("ref_table").alias("target"), F.col("own_1").alias("k1"), F.coalesce("own_2", F.lit("")).alias("k2")).where(F.col("k1").isNotNull()).distinct()
+        known = [t for t in self._parents if t] if all(self._parents) else [r[0] for r in self._refs.select("target").distinct().collect()]  # names of tables
         edges = self._refs.select("ref_table", "own_1", "own_2", "target", "k1", "k2")
         bad = durable(self.direct())
         frontier = durable(own(edges.join(_sized(bad), ["ref_table", "target", "k1", "k2"], "left_semi")).withColumn("round", F.lit(0)))
         every, n = frontier, 0
         while True:
-            passing = frontier.where(F.col("target").isin(self._parents))  # records nobody refers to can't pass anything on
+            passing = frontier.where(F.col("target").isin(known))  # records nobody refers to can't pass anything on
             if passing.isEmpty():
                 return every
             n += 1
