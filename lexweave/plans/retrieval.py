@@ -186,7 +186,7 @@ def embedding_input_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of the offline adapter for every session's text; the adapter is no SQL."""
+    """Vectors of the offline adapter for every session's text; SQL knows their inputs and that they are valid, not their values."""
     out = embedding.backfill(read(spark, sf, "intake_sessions").select("id", "redacted_text").distinct(), "id", "redacted_text", embedding.HashingEmbedder(64))
     return out.select("id", "input_hash", embedding.is_vector(F.col("embedding"), 64).alias("ok"))
 
@@ -258,6 +258,7 @@ def _redact_sql() -> str:
 _NORMAL = r"substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(redacted_text, '\r', chr(10), 'g'), '[\t ]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g'), 1, 4000)"
 
 ORACLE = {
+    "embedding_backfill": "SELECT DISTINCT id, sha256(redacted_text) AS input_hash, true AS ok FROM (SELECT DISTINCT id, redacted_text FROM intake_sessions)",
     "lexical_rank_topk": f"""SELECT id, hits, floor(least(hits * 0.1 / 0.5, 1.0) * 100 + 0.5)::BIGINT AS score FROM (SELECT id, decision_date, {_HITS}::BIGINT AS hits FROM precedents)
       WHERE hits > 0 ORDER BY hits DESC, decision_date DESC NULLS LAST, id LIMIT 50""",
     "semantic_topk": """SELECT vec_id, round(s, 5) AS similarity FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
