@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -18,6 +20,7 @@ from ..functions.text import clean_text, nfkc, sha256
 # Fixed values.
 OUTCOME = "(유죄|무죄|징역|금고|벌금|집행유예|선고유예|양형|형량|처벌|상고.{0,8}(기각|인용)|원심판결|파기환송|파기자판|공소기각)"
 MAX_INPUT = 6000
+BATCH_TEXTS = 64  # texts of one call of an adapter
 DOCUMENT_HEAD, QUERY_HEAD = "검증된 공개 판례의 중립적 사실관계", "사용자가 입력한 중립적 사실관계"
 
 
@@ -73,13 +76,18 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.size))
         for v, t in zip(out, texts):
-            for i in range(max(1, len(t) - 2)):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest(), "big")
-                v[h % self.size] += 1 if h >> 63 else -1
+            for gram, n in Counter(t[i : i + 3] for i in range(max(1, len(t) - 2))).items():  # a hash for each kind of trigram
+                h = _gram_hash(gram)
+                v[h % self.size] += n if h >> 63 else -n
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).tolist()
 
 
+@lru_cache(200_000)
+def _gram_hash(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+
+
 def stale(df: DataFrame, model: str) -> DataFrame:
     """F13. Rows whose vector isn't of this model, input and source (columns input_hash, source_hash)."""
     current = F.col("embedding_model").eqNullSafe(F.lit(model)) & F.col("embedding_input_hash").eqNullSafe(F.col("input_hash"))
@@ -97,16 +105,29 @@ def backfill(df: DataFrame, key: str, text: str, embedder: Embedder, allow_exter
     schema = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error_code", T.StringType())])
 
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in s:
+        texts, rows = [t or "" for t in s], []
+        for i in range(0, len(texts), BATCH_TEXTS):
+            part = texts[i : i + BATCH_TEXTS]
             try:
-                (v,) = embedder.embed([t or ""])
-                good = len(v) == embedder.size and all(np.isfinite(v))
-                rows.append((v if good else None, None if good else "EMBEDDING_VECTOR_INVALID"))
-            except Exception as e:  # noqa: BLE001
-                rows.append((None, getattr(e, "code", "EMBEDDING_FAILED")))
+                got = embedder.embed(part)
+                if len(got) != len(part):
+                    raise ValueError
+                rows += [judged(v) for v in got]
+            except Exception:  # noqa: BLE001
+                rows += [alone(t) for t in part]  # the one that fails costs no other
         return pd.DataFrame(rows, columns=["embedding", "error_code"])
 
+    def judged(v) -> tuple:
+        good = len(v) == embedder.size and all(np.isfinite(v))
+        return v if good else None, None if good else "EMBEDDING_VECTOR_INVALID"
+
+    def alone(t: str) -> tuple:
+        try:
+            (v,) = embedder.embed([t])
+            return judged(v)
+        except Exception as e:  # noqa: BLE001
+            return None, getattr(e, "code", "EMBEDDING_FAILED")
+
     got = df.select(key, F.col(text).alias("_t"), F.pandas_udf(run, schema)(F.col(text)).alias("_e"))
     return got.select(key, "_e.embedding", sha256(F.col("_t")).alias("input_hash"), "_e.error_code")
 

@@ -1,4 +1,4 @@
-"""Workflows over the operators: stored tags, backfill of summaries, sync of arrivals (DML1-DML4, DML10-DML12, F13, J1, U2-U4).
+"""Workflows over the operators: stored tags, backfill of summaries, analyses, verification, sync of arrivals (DML1-DML4, DML10-DML12, F13, J1, U2-U4).
 
 Each returns whole new tables and what became of every record; ``run_sync`` publishes all of its tables or none.
 """
@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 
 from ..functions.rules import KOREAN, TARGET, facts, focus, is_target_case
 from ..functions.text import sha256, stable_id
+from ..session import durable
 from .embedding import extractive_summary
 from .grounding import analysis_schema, validate_analysis, validate_summary
-from .merge import current_runs, existing_matches, merge_upsert, publish, published, rotate_primary, run_row, state_counts, upsert_records
+from .merge import current_runs, existing_matches, merge_upsert, publish, published, replace_children, rotate_primary, run_row, state_counts, upsert_records
 from .search import SUMMARY_VERSION
-from .sections import select_relevant
+from .sections import document_facts, extract_orders, paragraphs_of, select_relevant
+from .verify import verify
 
 VERSION = KOREAN.version
 
@@ -156,6 +158,36 @@ def analyses(requests: DataFrame, analyst: Analyst, *, allow_external: bool = Fa
     return v.select("id", F.when(error.isNull(), F.col("v")).alias("analysis"), error.alias("error_code"))
 
 
+# --- verification -----------------------------------------------------------------------------------------------------
+
+def verify_stored(tables: dict[str, DataFrame], rights: DataFrame, as_of: Column, hosts: list[str], *, normalize: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, outcome): F8, F9, DML6, DML7, DML12. Verifies all ``precedents`` and renews what hangs on them.
+
+    Records that are valid in themselves get their paragraphs anew, others lose them; tags and orders are made anew for
+    records that are verified (their link answers too) and go with the verification of the others. Children of records
+    that are not in ``precedents`` stay. Tags have precedent_id, facts, evidence; orders precedent_id, order_text,
+    paragraph_ids, kind, extraction_version. ``outcome`` is that of ``verify``.
+    """
+    records = tables["precedents"]
+    outcome = durable(verify(records, rights, hosts))
+    later = ["SOURCE_PARAGRAPHS_MISSING", "SOURCE_LINK_INVALID", "SOURCE_RIGHTS_REQUIRED"]  # what is found once a record is valid in itself
+    valid = outcome.select("id", "verified", "searchable", (F.col("error_code").isNull() | F.col("error_code").isin(later)).alias("valid"))
+    good = lambda c: records.join(valid.where(c).select("id"), "id", "left_semi").select(F.col("id").alias("precedent_id"), "source_text")
+    paragraphs = paragraphs_of(good("valid"), "precedent_id", "source_text")
+    checked = paragraphs_of(good("verified"), "precedent_id", "source_text")
+    ids = records.select(F.col("id").alias("precedent_id"))
+    fresh = {
+        "precedent_paragraphs": paragraphs, "precedent_fact_tags": document_facts(checked, "precedent_id", normalize=normalize),
+        "precedent_dispositions": extract_orders(checked, "precedent_id", normalize=normalize),
+    }
+    out = {name: replace_children(tables[name], fresh[name], "precedent_id", ids) for name in fresh if name in tables}
+    renewed = {
+        "verified_at": F.when(F.col("_verified"), as_of), "link_checked_at": as_of, "link_status": F.when(F.col("_valid"), F.col("link_status")), "searchable": F.col("_searchable"),
+    }
+    j = records.join(valid.select("id", *[F.col(c).alias(f"_{c}") for c in ("valid", "verified", "searchable")]), "id")
+    return {**tables, **out, "precedents": j.withColumns(renewed).select(records.columns)}, outcome
+
+
 # --- sync -------------------------------------------------------------------------------------------------------------
 
 

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import embedding, grounding, merge, quality, search, verify, workflows
+from ..operators.sections import MAX_ORDER
 from ..schema import ORDER_KINDS
 from ..session import read, stage_path
 from ..sources import payloads
 from ..sources.links import probe
 from ..sources.paged import FetchError, PagedSource, lookup
 from ..streaming.sessions import upsert_batches
-from .oracle_parts import SPACE, compare_sql, facts_sql, focus_sql, quoted
-from .records import _BATCH, _OFFICIAL, _batches, _rights
+from .oracle_parts import SPACE, compare_sql, facts_sql, focus_sql, paragraphs_sql, quoted
+from .records import _BATCH, _OFFICIAL, _VERIFY, HOSTS, _batches, _rights
 from .retrieval import _picked
 from .stored import stored_tags, with_stored_facts
 
@@ -173,6 +174,29 @@ def overwritten_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return merge.merge_upsert(old, new, ["precedent_id"]).select("precedent_id", "source_hash", "summary_version", "model", F.size("sentences").cast("bigint").alias("n_sentences"))
 
 
+def verified_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The verification of all records: how many rows each table has after it."""
+    p = read(spark, sf, "precedents")
+    par = read(spark, sf, "precedent_paragraphs").select("precedent_id", "ordinal", "paragraph_id", "body")
+    old = read(spark, sf, "precedent_dispositions").select("precedent_id", "order_text", "paragraph_ids", "kind", "extraction_version")
+    tables = {"precedents": p, "precedent_paragraphs": par, "precedent_dispositions": old}
+    t, _ = workflows.verify_stored(tables, _rights(spark, sf), F.lit(AS_OF).cast("timestamp_ntz"), HOSTS, normalize=False)
+    n = lambda d, what: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    d = t["precedents"]
+    parts = [n(d.where("verified_at IS NOT NULL"), "verified"), n(d.where("searchable"), "searchable"), n(d.where("link_status IS NOT NULL"), "link_status"), n(t["precedent_paragraphs"], "paragraphs"), n(t["precedent_dispositions"], "orders")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pruned_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """DML8. The tables after the records outside the target are deleted with all that hangs on them."""
+    p = read(spark, sf, "precedents")
+    gone = p.where(~F.coalesce(F.col("case_name").contains(R.TARGET), F.lit(False))).select("id")
+    tables = {"precedents": (p, "id")} | {t: (read(spark, sf, t), "precedent_id") for t in ("precedent_paragraphs", "precedent_dispositions", "precedent_summaries")}
+    left, report = merge.delete_cascade(tables, gone, confirm=True)
+    n = reduce(DataFrame.unionByName, [d.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(t).alias("table_name"), "n_left") for t, d in left.items()])
+    return report.select("table_name", "deleted").join(n, "table_name")
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """DML10. Each delivery as a run that began and ended: the last row of a run stands for it."""
     d = read(spark, sf, "source_documents").where(F.col("sync_run_id").isNotNull()).groupBy("sync_run_id", "source_id").agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"), F.count(F.lit(1)).cast("int").alias("n"))
@@ -436,7 +460,7 @@ def stale_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     malformed_analyses, client_analyses, malformed_summaries, neutral_texts, analysis_inputs, tag_backfill, tagged_dispositions, summary_backfill, sync_summary, synced_records, synced_sources, overwritten_summaries,
-    run_log, article_parameters, list_records, statute_records, body_states, stable_ids, clamped_limits, shown_orders, mapped_results, gated_counts, shown_facts, model_rollup, curated_violations,
+    run_log, verified_tables, pruned_tables, article_parameters, list_records, statute_records, body_states, stable_ids, clamped_limits, shown_orders, mapped_results, gated_counts, shown_facts, model_rollup, curated_violations,
     element_evidence, adapter_analyses, paged_list, looked_up_details, link_probes, rights_records, published_tables, json_report, static_ranks, search_modes, full_width_texts, full_width_facts, streamed_upserts, stale_embeddings,
 )}
 
@@ -529,6 +553,17 @@ ORACLE = {
         UNION ALL SELECT 'sources ' || p::VARCHAR, count(*) FROM flags GROUP BY p) WHERE n > 0""",
     "overwritten_summaries": """SELECT precedent_id, source_hash, summary_version, model, len(sentences) AS n_sentences FROM (
       SELECT *, row_number() OVER (PARTITION BY precedent_id ORDER BY generated_at DESC NULLS LAST, source_hash NULLS FIRST, summary_version NULLS FIRST, model NULLS FIRST) AS rn FROM precedent_summaries WHERE precedent_id <> '') WHERE rn = 1""",
+    "verified_tables": f"""WITH {_VERIFY}, l AS (SELECT b.id, e0, k, {paragraphs_sql('source_text')} AS p, g.verified AS ok, b.link_status FROM base b JOIN gate g ON g.id = b.id),
+      h AS (SELECT *, list_position(list_transform(p, lambda x: regexp_matches(x, '^【\\s*주\\s*문\\s*】')), true) AS i FROM l WHERE ok),
+      r AS (SELECT *, list_slice(p, i + 1, len(p)) AS rest FROM h WHERE i > 0), j AS (SELECT *, list_position(list_transform(rest, lambda x: regexp_matches(x, '^【[^】]*】')), true) AS j FROM r),
+      o AS (SELECT array_to_string(list_filter(list_concat([trim(regexp_replace(p[i], '^【\\s*주\\s*문\\s*】', ''))], CASE WHEN j > 0 THEN list_slice(rest, 1, j - 1) ELSE rest END), lambda x: x <> ''), ' ') AS t FROM j)
+      SELECT 'verified' AS what, count(*) FILTER (verified) AS n FROM gate UNION ALL SELECT 'searchable', count(*) FILTER (verified AND rights) FROM gate
+      UNION ALL SELECT 'link_status', count(*) FROM l WHERE e0 IS NULL AND link_status IS NOT NULL
+      UNION ALL SELECT 'paragraphs', (SELECT sum(CASE WHEN e0 IS NULL THEN k ELSE 0 END) FROM l) + (SELECT count(*) FROM precedent_paragraphs c WHERE NOT EXISTS (SELECT 1 FROM precedents p WHERE p.id = c.precedent_id))
+      UNION ALL SELECT 'orders', (SELECT count(*) FROM o WHERE t <> '' AND length(t) <= {MAX_ORDER}) + (SELECT count(*) FROM precedent_dispositions c WHERE NOT EXISTS (SELECT 1 FROM precedents p WHERE p.id = c.precedent_id))""",
+    "pruned_tables": f"""WITH gone AS (SELECT DISTINCT id FROM precedents WHERE NOT {_TARGET}), c AS (SELECT 'precedents' AS table_name, id FROM precedents UNION ALL SELECT 'precedent_paragraphs', precedent_id FROM precedent_paragraphs
+      UNION ALL SELECT 'precedent_dispositions', precedent_id FROM precedent_dispositions UNION ALL SELECT 'precedent_summaries', precedent_id FROM precedent_summaries)
+      SELECT table_name, count(gone.id) AS deleted, count(*) - count(gone.id) AS n_left FROM c LEFT JOIN gone ON gone.id = c.id GROUP BY 1""",
     "run_log": "SELECT concat_ws('/', sync_run_id, source_id) AS id, 'succeeded' AS status, count(*) AS fetched_count FROM source_documents WHERE sync_run_id IS NOT NULL GROUP BY sync_run_id, source_id",
     "article_parameters": """SELECT DISTINCT month(o_orderdate)::VARCHAR || CASE WHEN day(o_orderdate) > 9 THEN '-' || day(o_orderdate) ELSE '' END AS article,
       lpad(month(o_orderdate)::VARCHAR, 4, '0') || lpad(CASE WHEN day(o_orderdate) > 9 THEN day(o_orderdate)::VARCHAR ELSE '0' END, 2, '0') AS parameter FROM orders""",

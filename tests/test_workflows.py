@@ -170,3 +170,46 @@ def test_lookups_fail_one_by_one(spark):
 
     got = lookup(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string"), "id", get).collect()
     assert {(r.id, r.payload, r.error_code) for r in got} == {("a", "{}", None), ("b", None, "HTTP_404")} and len(got) == 2
+
+
+def test_verification_renews_what_hangs_on_records(spark):
+    import hashlib
+
+    text = "【주문】<br>피고인을 벌금 100만 원에 처한다.<br>【이유】<br>카카오톡 메시지를 보냈다. 통신매체를 이용하였다."
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    row = lambda i, **k: (i, k.get("provider", "p"), i, "법원", "1", NAME, DAY, k.get("url", "https://a.example/1"), text, k.get("hash", sha(text)), T0, T0, T0, k.get("link", 200), True)
+    p = spark.createDataFrame([row("ok"), row("link", link=404), row("hash", hash="x"), row("rights", provider="q")], PRECEDENT)
+    rights = spark.createDataFrame([("p", True, True, True, True)], "provider string, storage_allowed boolean, indexing_allowed boolean, summary_allowed boolean, display_allowed boolean")
+    par = spark.createDataFrame([("hash", 1, "p009", "old"), ("ok", 1, "p009", "old"), ("away", 1, "p001", "stays")], "precedent_id string, ordinal int, paragraph_id string, body string")
+    orders = spark.createDataFrame([("link", "old", ["p1"], "other", "order-v0"), ("ok", "old", ["p1"], "other", "order-v0")], "precedent_id string, order_text string, paragraph_ids array<string>, kind string, extraction_version string")
+    tables = {"precedents": p, "precedent_paragraphs": par, "precedent_dispositions": orders}
+    t, out = workflows.verify_stored(tables, rights, F.lit(T1), ["a.example"])
+    got = {r.id: (r.verified_at, r.link_status, r.searchable) for r in t["precedents"].collect()}
+    assert got == {"ok": (T1, 200, True), "link": (None, 404, False), "hash": (None, None, False), "rights": (T1, 200, False)}
+    per = {r.precedent_id: r["count"] for r in t["precedent_paragraphs"].groupBy("precedent_id").count().collect()}
+    assert set(per) == {"ok", "link", "rights", "away"} and per["ok"] == per["link"] == 4
+    assert {(r.precedent_id, r.kind) for r in t["precedent_dispositions"].collect()} == {("ok", "sentenced"), ("rights", "sentenced")}
+    assert {r.id: r.error_code for r in out.collect()} == {"ok": None, "link": "SOURCE_LINK_INVALID", "hash": "SOURCE_HASH_MISMATCH", "rights": "SOURCE_RIGHTS_REQUIRED"}
+    t, _ = workflows.verify_stored({"precedents": p.limit(0), "precedent_paragraphs": par}, rights, F.lit(T1), ["a.example"])
+    assert t["precedents"].count() == 0 and t["precedent_paragraphs"].count() == 3
+
+
+def test_embeddings_in_batches_fail_one_by_one(spark):
+    from lexweave.operators import embedding
+
+    class Picky:
+        model, size = "picky", 2
+
+        def embed(self, texts):
+            if any("x" in t for t in texts):
+                raise RuntimeError
+            return [[1.0, float("nan") if t == "n" else 2.0] for t in texts]
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "x", "n", None, "b"] * 40)], "id int, t string")
+    got = embedding.backfill(d, "id", "t", Picky(), allow_external=True).collect()
+    assert len(got) == 200
+    for r in got:
+        want = {1: "EMBEDDING_FAILED", 2: "EMBEDDING_VECTOR_INVALID"}.get(r.id % 5)
+        assert r.error_code == want and (r.embedding is None) == (want is not None)
+    one = embedding.HashingEmbedder(16)
+    assert one.embed(["가나다라가나다", ""])[0] == one.embed(["가나다라가나다"])[0]
