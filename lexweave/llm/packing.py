@@ -22,6 +22,7 @@ from ..session import durable
 
 GROUP_ITEMS = 24_000
 SALTS = 256
+RUN = 10_000
 _SCHEMA = pa.schema(
     [("limit_name", pa.string()), ("capacity", pa.int64()), ("item_id", pa.string()), ("piece_no", pa.int32()), ("piece_start", pa.int64()), ("size", pa.int64()), ("bin", pa.string()), ("fill", pa.int64()), ("head", pa.bool_())]
 )
@@ -156,7 +157,8 @@ def pack(
     base = sized.select("item_id", "whole", F.when(whole > least, cuts).alias("cuts"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     # equal rows are counted before they move, and numbered; a key repeated without bound lies in as many parts as there are salts
     counted = base.groupBy("item_id", "whole", "cuts", "salt").agg(F.count(F.lit(1)).alias("n"))
-    one = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN)))).withColumn("last", F.least("n", (F.col("run") + 1) * RUN))
+    one = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN + 1, F.col("last"))))  # in runs, so that no array holds them all
     plain = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(int(c)).cast("bigint").alias("c"), F.lit(None).cast("array<bigint>").alias("cuts")) for n, c in limits])
     each = one.select("item_id", "whole", "salt", "copy", F.explode(F.coalesce("cuts", plain)).alias("l")).select("item_id", "whole", "salt", "copy", F.col("l.n").alias("limit_name"), F.col("l.c").alias("capacity"), "l.cuts")
     key = F.concat_ws("-", F.when(F.col("item_id").isNull(), "n").otherwise(F.concat(F.lit("i"), "item_id")), "whole", "salt", "copy")

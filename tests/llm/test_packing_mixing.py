@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lexweave.llm import mixing
+from lexweave.llm import mixing, packing
 from lexweave.llm.mixing import Mix, frames_of, plan_quotas, schedule
 from lexweave.llm.packing import best_fit, pack, piece_texts
 
@@ -68,7 +68,8 @@ def test_several_rounds_lose_no_place(spark):
 
 
 @pytest.mark.parametrize("group_items", [10_000, 30])
-def test_repeated_and_null_ids(spark, group_items):
+def test_repeated_and_null_ids(spark, group_items, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 7)
     rows = [(7, 10), (7, 10), (7, 9), (7, 25), (7, 25)] + [(None, 6)] * 200 + [(None, 33)] * 3 + [(1, 0)] * 50 + [(None, None)] * 20
     o = packed(spark, rows, [("x", 8), ("y", 16)], group_items=group_items)
     whole(o, rows)
