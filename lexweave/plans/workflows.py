@@ -285,7 +285,7 @@ def model_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def curated_violations(spark: SparkSession, sf: str) -> DataFrame:
     """SRC13. Records read as a curated table."""
-    p = read(spark, sf, "precedents").where("batch_no = 0")
+    p = read(spark, sf, "precedents")
     d = p.withColumns({"verified": F.col("searchable"), "summary": F.array(F.struct(F.when(F.col("id") > "8", "문단 1").otherwise("").alias("sourceAnchor")))})
     return quality.static_violations(d).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -396,8 +396,8 @@ DESCRIBED = {
 
 
 def static_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """R21, T5. Records of the first batch as a curated table, ranked for one description."""
-    p = with_stored_facts(read(spark, sf, "precedents").where("batch_no = 0").select("id", "court"), spark, sf)
+    """R21, T5. Records as a curated table, ranked for one description."""
+    p = with_stored_facts(read(spark, sf, "precedents").select("id", "court"), spark, sf)
     d = p.select("id", F.col("id").alias("ordinal"), "facts", F.array(F.when(F.col("id") < "8", "카카오톡").otherwise("게임"), F.lit("사진")).alias("keywords"), F.col("facts.issueTags").alias("issue_tags"))
     return quality.static_rank(d, F.lit(DESCRIPTION), 20, 50)
 
@@ -585,10 +585,10 @@ ORACLE = {
     "model_rollup": """SELECT event_type AS model, count(*) FILTER (value >= 5 OR value IS NULL) AS n_ok, count(*) FILTER (value < 5) AS n_failed, round(avg(value), 4) AS mean_latency_ms, sum(event_id % 100)::BIGINT AS n_tokens,
       sum(event_id % 3)::BIGINT AS n_dropped FROM events GROUP BY 1""",
     "curated_violations": "SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(
-        [f"SELECT '{c}' AS rule FROM precedents WHERE batch_no = 0 AND coalesce(trim({c}::VARCHAR), '') = ''" for c in _CURATED]
-        + ["SELECT 'not-verified' FROM precedents WHERE batch_no = 0 AND NOT coalesce(searchable, false)", "SELECT 'untrusted-url' FROM precedents WHERE batch_no = 0",
-           "SELECT 'missing-source-anchor' FROM precedents WHERE batch_no = 0 AND id <= '8'",
-           "SELECT 'duplicate' FROM (SELECT unnest(range(count(*) - 1)) FROM precedents WHERE batch_no = 0 GROUP BY court, case_number, decision_date)"]) + ") GROUP BY 1",
+        [f"SELECT '{c}' AS rule FROM precedents WHERE coalesce(trim({c}::VARCHAR), '') = ''" for c in _CURATED]
+        + ["SELECT 'not-verified' FROM precedents WHERE NOT coalesce(searchable, false)", "SELECT 'untrusted-url' FROM precedents",
+           "SELECT 'missing-source-anchor' FROM precedents WHERE id <= '8'",
+           "SELECT 'duplicate' FROM (SELECT unnest(range(count(*) - 1)) FROM precedents GROUP BY court, case_number, decision_date)"]) + ") GROUP BY 1",
     "element_evidence": f"""SELECT DISTINCT id, e.k AS element, e.m AS mention, e.v AS evidence, e.n::BIGINT AS n FROM (SELECT id, unnest([
       {{'k': 'purpose', 'm': 'unclear', 'v': {quoted(grounding.PURPOSE_EVIDENCE)}, 'n': {len(grounding.ELEMENT_TEXTS['purpose'][1])}}},
       {{'k': 'medium', 'm': CASE WHEN m IS NULL THEN 'unclear' ELSE 'present' END, 'v': CASE WHEN m IS NULL THEN {quoted(grounding.MEDIUM_UNKNOWN)} ELSE '입력에서 ' || {_LABEL('m', grounding.MEDIUM_LABELS)} || '을 확인했습니다.' END, 'n': {len(grounding.ELEMENT_TEXTS['medium'][1])}}},
@@ -605,7 +605,7 @@ ORACLE = {
     "json_report": """SELECT o_orderstatus, '{"n":' || count(*) || ',"last":"' || max(o_orderdate)::DATE::VARCHAR || '"}' AS report FROM orders GROUP BY 1""",
     "static_ranks": f"""SELECT id, semantic, fact_score, issue_score, total FROM (SELECT *, floor(semantic * 0.45 + fact_score * 0.45 + issue_score * 0.1 + 0.5)::BIGINT AS total FROM (
       SELECT id, least(100, (CASE WHEN id < '8' THEN 2 ELSE 1 END) * 14 + CASE WHEN medium = 'kakao' THEN 26 ELSE 0 END + CASE WHEN expression = 'sexual_image' THEN 18 ELSE 0 END) AS semantic, {compare_sql(DESCRIBED)[0]} AS fact_score, {compare_sql(DESCRIBED)[1]} AS issue_score
-      FROM ({facts_sql('SELECT id, source_text AS txt FROM precedents WHERE batch_no = 0')}))) ORDER BY total DESC, id LIMIT 50""",
+      FROM ({facts_sql('SELECT id, source_text AS txt FROM precedents')}))) ORDER BY total DESC, id LIMIT 50""",
     "search_modes": """SELECT 'lexical' AS name, 'provisional_without_embeddings' AS mode, '' AS fallback_code, true AS has_count UNION ALL SELECT 'down', 'fallback_without_embeddings', 'EMBEDDING_DOWN', true
       UNION ALL SELECT 'empty', 'fallback_without_embeddings', 'NO_EMBEDDED_CANDIDATES', true UNION ALL SELECT 'outside', 'query_out_of_scope', '', false""",
     "full_width_texts": "SELECT doc_id, url FROM documents WHERE url IS NOT NULL",
