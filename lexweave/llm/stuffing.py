@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +28,6 @@ RUN_WORDS, RUN_CHARS = (7, 10), (40, 64)
 PHRASE_SHARE = (0.48, 0.58)  # of all sentences that have it, by one repeated phrase; the second value holds for ASCII phrases
 TWICE_SHARE = (0.3, 0.58)  # the same, if the phrase comes back in most of these sentences
 MIN_REPEATS = 3
-TWICE_CHARS = 500
 SHORT_LETTERS, SHORT_SHARE, SHORT_KINDS = 3, 0.25, 4  # short words of prose in other languages
 UNSPACED = 10  # characters of a token of a script without spaces that is more than a key word
 PADDED_WORDS, PADDED_COVER, PADDED_KINDS = 30, 0.8, 6
@@ -42,7 +41,7 @@ LINK = re.compile(
 # what a link can't do without; most pages have none of it
 _LINK_PARTS = ("<", "@", "://", "/ /", "www", *re.findall(r"[a-z]+(?=[|)])", _TLD))
 _MAY_LINK = re.compile(r"<|@|://|/ /|www|\b" + _TLD)
-_WORD = re.compile(r"[^\s,;|/·#＃@+*▶►•()\[\]{}<>\"'“”‘’…~=]+")
+_WORD = re.compile(r"([^\s,;|/·#＃@+*▶►•()\[\]{}<>\"'“”‘’…~=]+)")
 _RECORD = re.compile(r"^(?:\d{4}\.|\d{1,2}:\d{2}(?:경)?|\d{4}[가-힣]{1,3}\d+(?:호)?|제\d+(?:장|절|조|항|편|호)\S*|\d{4}[-.]\d{1,2}[-.]\d{1,2}\.?)$")
 _ENDING = re.compile(
     r"(?:(?<=[가-힣一-鿿A-Za-z0-9])(?:에서는|에서만|에서|에게서|에게|으로는|으로|부터|까지|이라는|라는|이라고|라고|입니다|습니다|합니다|니다|하는|하여|하고|하며|하면|한다|였다|었다|았다|이다|대한|관한|따라|있는|없는|있다|없다|같은|이며|"
@@ -116,8 +115,13 @@ class SuffixAutomaton:
                 at.append(0)
                 continue
             cur, p = -1, last
-            row = nxt[p]
-            if c not in row:
+            q = nxt[p].get(c)
+            if q is not None and length[p] + 1 == length[q]:  # the part so far has occurred before
+                count[q] += 1
+                last = q
+                at.append(q)
+                continue
+            if q is None:
                 cur = len(nxt)
                 nxt.append({})
                 link.append(0)
@@ -140,7 +144,7 @@ class SuffixAutomaton:
                         nxt[p][c] = clone
                         p = link[p]
                     link[q] = q = clone
-                if cur < 0:  # the part so far has occurred before
+                if cur < 0:  # it has occurred before inside of parts
                     count[q] += 1
                     cur = q
                 else:
@@ -157,51 +161,61 @@ class SuffixAutomaton:
         return [(self.first[s] + 1, self.length[s], self.count[s]) for s in range(1, len(self.next)) if self.count[s] >= least]
 
 
-def _filled(auto: SuffixAutomaton, stems: list[str], spans: list[tuple[int, int]], where: list[int], sizes: list[int], dense: set[int]) -> tuple[set[int], int]:
+def _filled(auto: SuffixAutomaton, stems: list[str], begins: list[int], stops: list[int], where: list[int], deep: list[int], sizes: list[int], dense: set[int]) -> tuple[set[int], int]:
     """Sentences filled by a repeated substring, however small a part of the page it is; characters that repeated ones cover.
 
-    ``stems`` ('' divides) have their characters in ``spans`` and their sentence in ``where``; ``sizes`` are those of the
-    sentences; ``dense`` are the sentences that repeated stems fill enough, outside of which no substring can do so alone. The substrings that end at a word are the states on its suffix links; between two marks of clause
-    structure there are few.
+    ``stems`` ('' divides) have, but for the dividers, their characters outside of runs from ``begins`` to ``stops``, their
+    sentence in ``where`` and in ``deep`` how many of the stems up to there lie in a run; ``sizes`` are those of the sentences outside of runs; ``dense`` are the
+    sentences that repeated stems fill enough, outside of which no substring can do so alone. The substrings that end at a
+    word are the states on its suffix links; between two marks of clause structure there are few, and of those that end in a
+    run only the ones that begin before it have characters outside.
     """
     link, length, count = auto.link, auto.length, auto.count
     covered, upto = 0, 0
     wanted: set[int] = set()
-    for i, state in enumerate(auto.at):
-        if not state:
-            continue
-        if where[i] in dense:
-            up = state
-            while up > 0:
-                if count[up] >= 2:
-                    wanted.add(up)
-                up = link[up]
-        while state > 0 and count[state] < MIN_REPEATS:
+    at = [state for state in auto.at if state]
+    for i, state in enumerate(at):
+        if count[state] < 2:  # what is longest before it has occurred again
             state = link[state]
-        if state > 0:
-            start, end = spans[i + 1 - length[state]][0], spans[i][1]
-            covered += max(0, end - (start if start > upto else upto))
+            if not state:
+                continue
+        end = stops[i]
+        if end > upto:
+            start = begins[i + 1 - length[state]]
+            covered += end - (start if start > upto else upto)
             upto = end
-    seen: dict[int, list] = {}  # of each state: characters filled, end of the last occurrence, sentences, a place
-    for i, state in enumerate(auto.at) if wanted else ():
-        while state > 0:
+        if where[i] in dense:
+            least = deep[i]
+            while length[state] > least:
+                wanted.add(state)
+                state = link[state]
+    if not wanted:
+        return set(), covered
+    seen: dict[int, list] = {}  # of each state: characters filled, end of the last occurrence, sentences, occurrences, a place
+    for i, state in enumerate(at):
+        least = deep[i]
+        while length[state] > least:
             if state in wanted:
-                start, end = spans[i + 1 - length[state]][0], spans[i][1]
+                start, end = begins[i + 1 - length[state]], stops[i]
                 got = seen.get(state)
                 if got is None:
-                    seen[state] = [end - start, end, [where[i]], i]
+                    seen[state] = [end - start, end, [where[i]], 1, i]
                 else:
                     got[0] += end - (start if start > got[1] else got[1])
                     got[1] = end
+                    got[3] += 1
                     if got[2][-1] != where[i]:
                         got[2].append(where[i])
             state = link[state]
+    other: list[int] = []
     keyed: set[int] = set()
-    for state, (filled, _, inside, i) in seen.items():
+    for state, (filled, _, inside, n, i) in seen.items():
         total, k = sum(map(sizes.__getitem__, inside)), count[state]
-        twice = 2 * k >= 3 * len(inside)
+        twice = 2 * n >= 3 * len(inside)
         if filled >= (TWICE_SHARE if twice else PHRASE_SHARE)[0] * total and (twice or k >= MIN_REPEATS):
-            in_ascii = all(map(str.isascii, stems[i + 1 - length[state] : i + 1]))
+            if not other:
+                other = [0, *accumulate(not s.isascii() for s in stems if s)]
+            in_ascii = other[i + 1] == other[i + 1 - length[state]]
             if filled >= (TWICE_SHARE if twice and k >= MIN_REPEATS else PHRASE_SHARE)[in_ascii or k < MIN_REPEATS] * total:
                 keyed.update(inside)
     return keyed, covered
@@ -239,7 +253,8 @@ def measure(text: str, memo: dict[str, tuple[int, str]]) -> tuple[int, int, int,
         parts.append("\n" + " " * (b - a - 1) if b > a else "")
         at = b
     rest = "".join([*parts, text[at:]]) if spans else text
-    words = _WORD.findall(rest)
+    pieces = _WORD.split(rest)  # what lies between words and words by turns
+    words = pieces[1::2]
     if not words:
         return total, total, 0, 0, 0
     known = _known(words, memo)
@@ -250,7 +265,7 @@ def measure(text: str, memo: dict[str, tuple[int, str]]) -> tuple[int, int, int,
         flags[at] = not (at and words[at - 1].lower() in _BEFORE)
         at = flags.find(2, at + 1)
     lengths = list(map(len, words))
-    starts = [m.start() for m in _WORD.finditer(rest)] + [len(rest)]
+    starts = list(accumulate(map(len, pieces)))[::2]  # and the end
     runs = _runs(flags, words, lengths, starts, rest)
     loose = [(i, j) for i, j in runs if j - i >= RUN_WORDS[0] or not words[i].isascii()]
     if loose:  # prose of another language?
@@ -323,49 +338,74 @@ def _size(runs: list[tuple[int, int]], starts: list[int], links: list[tuple[int,
 def _repeats(words, ends, known, flags, counts, runs, starts, sentences, sizes) -> tuple[set[int], int]:
     """The page's automaton over stems between marks of clause structure: filled sentences, covered characters.
 
-    A word that occurs once is in no repeated substring, so it divides; so do runs, which count by themselves.
+    A word that occurs once is in no repeated substring, so it divides. Runs count by themselves: what occurs in them is a
+    repetition, but has no characters here.
     """
-    # what occurs twice fills half a page only if that is short, as outside of runs a phrase has RUN_CHARS at most
-    least = 2 if sizes and sum(sizes) <= TWICE_CHARS else MIN_REPEATS
-    often = {s for s, c in counts.items() if c >= least and s}
+    often = {s for s, c in counts.items() if c >= 2 and s}
     soft = int.from_bytes(bytes(map(_SOFT.__getitem__, ends)), "little")  # a stem before its ending stays
-    off = bytearray((int.from_bytes(flags, "little") & ~soft).to_bytes(len(words), "little"))
-    for i, j in runs:
-        off[i:j] = b"\1" * (j - i)
+    off = (int.from_bytes(flags, "little") & ~soft).to_bytes(len(words), "little")
+    ran, places = _outside(runs, starts) if runs else (b"", starts)
     stems: list[str] = []
-    chars: list[tuple[int, int]] = []
+    begins: list[int] = []
+    stops: list[int] = []
     where: list[int] = []
+    deep: list[int] = []
     filled: dict[int, int] = {}
-    k, top, last = 0, -1, len(sentences) - 1
+    k, last, upto, run = 0, len(sentences) - 1, 0, 0
+    edge = sentences[0][1]
     after = -1  # the word that would go on with the phrase
-    for i in [i for i, (s, b) in enumerate(zip(known, off)) if s in often and not b]:
-        s, a = known[i], starts[i]
-        if a >= sentences[k][1]:
-            while k < last and a >= sentences[k][1]:
+    for i in [i for i, (s, b) in enumerate(zip(known, off)) if not b and s in often]:
+        s = known[i]
+        if starts[i] >= edge and k < last:  # a phrase ends with its sentence
+            while k < last and starts[i] >= edge:
                 k += 1
-        if (i != after or k != top) and stems:  # a phrase ends with its sentence
+                edge = sentences[k][1]
+            after = -1
+        a = places[i]
+        if ran and ran[i]:
+            end = a
+            run = run + 1 if i == after else 1
+        else:
+            word = words[i]
+            if word[0] != s[0]:
+                a += word.find(s)
+            end, run = a + len(s), 0
+        if i != after:
             stems.append("")
-            chars.append((a, a))
-            where.append(k)
-        word = words[i]
-        if word[0] != s[0]:
-            a += word.find(s)
+            upto = a
         stems.append(s)
-        chars.append((a, a + len(s)))
+        begins.append(a)
+        stops.append(end)
         where.append(k)
-        filled[k] = filled.get(k, 0) + len(s) + 1
-        after, top = (i + 1 if ends[i] <= 0 else -1), k
+        if ran:
+            deep.append(run)
+        if end > upto:
+            filled[k] = filled.get(k, 0) + end - upto
+            upto = end
+        after = i + 1 if ends[i] <= 0 else -1
     # a phrase that fills enough of its sentences fills enough of one of them
     dense = {k for k, n in filled.items() if n >= TWICE_SHARE[0] * sizes[k]}
-    return _filled(SuffixAutomaton(stems), stems, chars, where, sizes, dense)
+    return _filled(SuffixAutomaton(stems), stems, begins, stops, where, deep or [0] * len(where), sizes, dense)
+
+
+def _outside(runs: list[tuple[int, int]], starts: list[int]) -> tuple[bytearray, list[int]]:
+    """Which words are in runs; where words start if runs had no characters."""
+    ran, places, at, gone = bytearray(len(starts)), [], 0, 0
+    for i, j in runs:
+        ran[i:j] = b"\1" * (j - i)
+        places += [a - gone for a in starts[at:i]]
+        places += [starts[i] - gone] * (j - i)
+        gone += starts[j] - starts[i]
+        at = j
+    return ran, places + [a - gone for a in starts[at:]]
 
 
 def _padded(words: list[str], known: list[tuple[int, str]], flags: bytearray, counts: Counter) -> bool:
     """Whether structural words only join key words: few kinds of them, no article, and names that come again and again."""
-    if len(words) < PADDED_WORDS:
+    if len(words) < PADDED_WORDS or any(f > 0 for f, _ in known):
         return False
     joined = [w.lower() for w, (f, _), m in zip(words, known, flags) if m and f < 0 and w.isascii()]
-    if not joined or len(set(joined)) > PADDED_KINDS or any(f > 0 for f, _ in known):
+    if not joined or len(set(joined)) > PADDED_KINDS:
         return False
     if sum(w.lower() in _ARTICLES for w in words) * 50 > len(words):
         return False
